@@ -178,12 +178,13 @@ def masked_concat(vectors: Sequence[Column], mask: Column, dims: Sequence[int])
     return F.concat(*parts)
 
 
+def _scaled(vector: Column, weight: Column) -> Column:
+    return let(weight, lambda w: F.transform(vector, lambda x: x * w))
+
+
 def weighted_fusion(vectors: Sequence[Column], weights: Column) -> Column:
     """Sum of the modality vectors times their weights."""
-    scaled = [
-        let(F.get(weights, F.lit(i)), lambda w, v=v: F.transform(v, lambda x: x * w))
-        for i, v in enumerate(vectors)
-    ]
+    scaled = [_scaled(v, F.get(weights, F.lit(i))) for i, v in enumerate(vectors)]
     total = scaled[0]
     for part in scaled[1:]:
         total = F.zip_with(total, part, lambda a, b: a + b)
