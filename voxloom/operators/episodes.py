@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxloom.functions.hashing import hash_int, hash_key, hash_ranked
 from voxloom.operators.splits import class_subsets
+from voxloom.scratch import cut_lineage
 
 TASK_FIELDS = ("global", "language", "corpus", "language_corpus", "speaker")
 
@@ -107,7 +108,8 @@ def episode_sweep(
     ranked = hash_ranked(
         examples.withColumn("_h", hash_key(seed, F.col("sample_id"))), ["task", "label"], "_h", "sample_id"
     ).drop("_h", "n")
-    return ranked.join(wanted, ["task", "label", "rn"]).drop("rn")
+    # Shots x episodes x (n_way * (k + q)) rows, read several times by the evaluations.
+    return cut_lineage(ranked.join(wanted, ["task", "label", "rn"]).drop("rn"))
 
 
 def ordinary_episodes(
@@ -185,19 +187,23 @@ def disjoint_episodes(
     per_task = sets.groupBy("task").agg(F.sort_array(F.collect_list("class_set")).alias("sets"))
     drawn = _pick_tasks(per_task, episodes, seed)
     pick = (hash_int(seed, F.col("episode"), "classes") % F.size("sets")).cast("int")
-    drawn = drawn.select("episode", "task", F.get("sets", pick).alias("class_set"))
+    # Every table cut here has one row per episode or per candidate speaker; the later steps
+    # read them several times.
+    drawn = cut_lineage(drawn.select("episode", "task", F.get("sets", pick).alias("class_set")))
 
     # Candidates of the chosen class sets only; a task's speakers meet at most C(K, n_way) sets.
     used = drawn.select("task", "class_set").distinct()
-    candidates = _speaker_masks(examples, k_shot, query).join(used, "task").select(
-        "task", "class_set", "speaker_id",
-        _has(F.col("s_mask"), F.col("class_set")).alias("_s"),
-        _has(F.col("q_mask"), F.col("class_set")).alias("_q"),
-    ).where("_s or _q")
+    candidates = cut_lineage(
+        _speaker_masks(examples, k_shot, query).join(used, "task").select(
+            "task", "class_set", "speaker_id",
+            _has(F.col("s_mask"), F.col("class_set")).alias("_s"),
+            _has(F.col("q_mask"), F.col("class_set")).alias("_q"),
+        ).where("_s or _q")
+    )
     keys = ["task", "class_set"]
     support = _rank_side(candidates, "_s", "s_rank", "n_s", seed)
     asked = _rank_side(candidates, "_q", "q_rank", "n_q", seed)
-    ranks = support.join(asked, [*keys, "speaker_id"], "full")
+    ranks = cut_lineage(support.join(asked, [*keys, "speaker_id"], "full"))
     sizes = ranks.groupBy(*keys).agg(
         F.coalesce(F.max("n_s"), F.lit(0)).alias("n_s"), F.coalesce(F.max("n_q"), F.lit(0)).alias("n_q")
     )
@@ -224,8 +230,11 @@ def disjoint_episodes(
         ).select("episode", *keys, "s_speaker", "q_speaker")
 
     # With a single query candidate that one is fixed first, else the support speaker is.
-    pairs = draw(drawn.where("n_q > 1"), "s", "q", "n_s", "n_q").unionByName(
-        draw(drawn.where("n_q = 1"), "q", "s", "n_q", "n_s")
+    drawn = cut_lineage(drawn)
+    pairs = cut_lineage(
+        draw(drawn.where("n_q > 1"), "s", "q", "n_s", "n_q").unionByName(
+            draw(drawn.where("n_q = 1"), "q", "s", "n_q", "n_s")
+        )
     )
     bits = F.filter(
         F.sequence(F.lit(0), F.lit(n_classes - 1)),

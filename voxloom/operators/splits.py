@@ -167,53 +167,58 @@ def component_split(
     }
 
     n = len(head)
-    digits = [
-        (F.floor(F.col("id") / F.lit(3 ** (n - 1 - i))) % 3).cast("int").alias(f"d{i}")
-        for i in range(n)
-    ]
-    space = spark.range(3**n).select("id", *digits)
-
-    def total(field: str, split: int) -> Column:
-        fixed = int(tail[split][field] or 0) if split in tail else 0
-        expr = F.lit(fixed).cast("bigint")
-        for i, row in enumerate(head):
-            expr = expr + F.when(F.col(f"d{i}") == split, int(row[field])).otherwise(0)
-        return expr
-
-    sums = space.select(
+    # One row per assignment with the totals of its three splits.  Counts per component are
+    # literals (at most `exact` short rows), summed per split inside the row.
+    fields = ["speakers", *counts]
+    facts = F.array(*[F.array(*[F.lit(int(r[f])).cast("bigint") for f in fields]) for r in head])
+    fixed = F.array(
+        *[F.array(*[F.lit(int(tail[s][f] or 0) if s in tail else 0).cast("bigint") for f in fields]) for s in range(3)]
+    )
+    powers = F.array(*[F.lit(3 ** (n - 1 - i)).cast("bigint") for i in range(n)])
+    digits = F.transform(powers, lambda p: (F.floor(F.col("id") / p) % 3).cast("int"))
+    space = spark.range(3**n).select("id", digits.alias("d"))
+    space = space.where((F.get("d", F.lit(0)) == 0) & (F.size(F.array_distinct("d")) == 3))
+
+    def totals(split: int) -> Column:
+        rows = F.filter(facts, lambda _, i: F.get("d", i) == split)
+        return F.aggregate(rows, F.get(fixed, F.lit(split)), lambda acc, r: F.zip_with(acc, r, lambda x, y: x + y))
+
+    def added(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+
+    sums = space.select("id", F.array(*[totals(s) for s in range(3)]).alias("t"))
+    parts = sums.select(
         "id",
-        *[F.col(f"d{i}") for i in range(n)],
-        *[total("speakers", s).alias(f"s{s}") for s in range(3)],
-        *[total(c, s).alias(f"c{s}_{j}") for s in range(3) for j, c in enumerate(counts)],
+        F.transform("t", lambda x: x[0]).alias("people"),
+        F.transform("t", lambda x: F.slice(x, 2, label_count)).alias("cells"),
+    ).withColumn("rows", F.transform("cells", added))
+    feasible = (F.get("rows", F.lit(0)) >= F.array_max("rows")) & F.forall(
+        "cells", lambda c: F.forall(c, lambda x: x > 0)
+    )
+    valid = parts.where(feasible).withColumns(
+        {
+            "n_rows": added(F.col("rows")).cast("double"), "n_people": added(F.col("people")).cast("double"),
+            "overall": F.aggregate(
+                "cells", F.array_repeat(F.lit(0).cast("bigint"), label_count),
+                lambda acc, c: F.zip_with(acc, c, lambda x, y: x + y),
+            ),
+        }
+    )
+
+    def squares(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x * x)
+
+    goal = F.array(*[F.lit(t) for t in targets])
+    sample_error = squares(F.zip_with("rows", goal, lambda x, t: x / F.col("n_rows") - t))
+    speaker_error = squares(F.zip_with("people", goal, lambda x, t: x / F.col("n_people") - t))
+    class_error = squares(
+        F.flatten(
+            F.zip_with(
+                "cells", "rows",
+                lambda c, m: F.zip_with(c, F.col("overall"), lambda x, o: x / m - o / F.col("n_rows")),
+            )
+        )
     )
-    for s in range(3):
-        cells = [F.col(f"c{s}_{j}") for j in range(label_count)]
-        sums = sums.withColumn(f"n{s}", sum(cells[1:], cells[0]))
-    used = F.array_distinct(F.array(*[F.col(f"d{i}") for i in range(n)]))
-    feasible = (F.col("d0") == 0) & (F.size(used) == 3)
-    feasible &= F.col("n0") >= F.greatest("n1", "n2")
-    for s in range(3):
-        for j in range(label_count):
-            feasible &= F.col(f"c{s}_{j}") > 0
-    valid = sums.where(feasible)
-
-    def all_of(names):
-        return sum([F.col(x) for x in names[1:]], F.col(names[0])).cast("double")
-
-    rows, people = all_of(["n0", "n1", "n2"]), all_of(["s0", "s1", "s2"])
-
-    def square(x: Column) -> Column:
-        return x * x
-
-    sample_error = F.lit(0.0)
-    speaker_error = F.lit(0.0)
-    class_error = F.lit(0.0)
-    for s in range(3):
-        sample_error = sample_error + square(F.col(f"n{s}") / rows - F.lit(targets[s]))
-        speaker_error = speaker_error + square(F.col(f"s{s}") / people - F.lit(targets[s]))
-        for j in range(label_count):
-            overall = all_of([f"c{t}_{j}" for t in range(3)]) / rows
-            class_error = class_error + square(F.col(f"c{s}_{j}") / F.col(f"n{s}") - overall)
     score = sample_error + F.lit(0.05) * class_error + F.lit(0.01) * speaker_error
     best = valid.agg(F.min(F.struct(F.round(score, 15).alias("score"), "id")).alias("best")).first()
     if best is None or best["best"] is None:
