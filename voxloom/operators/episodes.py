@@ -63,11 +63,8 @@ def _pick_tasks(tasks: DataFrame, episodes: int, seed: int) -> DataFrame:
     drawn = (
         tasks.sparkSession.range(episodes).select(F.col("id").alias("episode"))
         .withColumn("_n", total.scalar())
-        .withColumn(
-            "task_no",
-            F.when(F.col("_n") > 0, F.lit(1) + hash_int(seed, F.col("episode"), "task") % F.col("_n"))
-            .otherwise(F.raise_error("no task can satisfy the episode").cast("bigint")),
-        )
+        .where(F.col("_n") > 0)
+        .withColumn("task_no", F.lit(1) + hash_int(seed, F.col("episode"), "task") % F.col("_n"))
     )
     return drawn.drop("_n").join(numbered, "task_no").drop("task_no")
 
@@ -109,7 +106,10 @@ def episode_sweep(
         examples.withColumn("_h", hash_key(seed, F.col("sample_id"))), ["task", "label"], "_h", "sample_id"
     ).drop("_h", "n")
     # Shots x episodes x (n_way * (k + q)) rows, read several times by the evaluations.
-    return cut_lineage(ranked.join(wanted, ["task", "label", "rn"]).drop("rn"))
+    members = cut_lineage(ranked.join(wanted, ["task", "label", "rn"]).drop("rn"))
+    if members.select("k_shot").distinct().count() < len(set(k_shots)):
+        raise ValueError("no task can satisfy the requested episodes")
+    return members
 
 
 def ordinary_episodes(
@@ -190,6 +190,8 @@ def disjoint_episodes(
     # Every table cut here has one row per episode or per candidate speaker; the later steps
     # read them several times.
     drawn = cut_lineage(drawn.select("episode", "task", F.get("sets", pick).alias("class_set")))
+    if drawn.isEmpty():
+        raise ValueError("no task can satisfy the requested episodes")
 
     # Candidates of the chosen class sets only; a task's speakers meet at most C(K, n_way) sets.
     used = drawn.select("task", "class_set").distinct()

@@ -53,8 +53,8 @@ def per_class_metrics(
         *[entry(F.lit(c), zero, zero, zero) for c in range(k)],
     )
     sums = (
-        cells.select(*by, F.explode(entries).alias("e")).groupBy(*by, "e.class")
-        .agg(*[F.sum(f"e.{x}").alias(x) for x in ("support", "predicted", "tp")])
+        cells.select(*by, F.explode(entries).alias("_e")).groupBy(*by, "_e.class")
+        .agg(*[F.sum(f"_e.{x}").alias(x) for x in ("support", "predicted", "tp")])
     )
     tp = F.col("tp").cast("double")
     recall = F.coalesce(F.try_divide(tp, F.col("support").cast("double")), F.lit(0.0))
@@ -95,7 +95,7 @@ def slices(df: DataFrame, dimensions: Mapping[str, Column], keep: Sequence[str])
             for name, value in dimensions.items()
         ]
     )
-    return df.select(*keep, F.explode(entries).alias("s")).select(*keep, "s.*")
+    return df.select(*keep, F.explode(entries).alias("_s")).select(*keep, "_s.*")
 
 
 def sliced_metrics(

@@ -171,8 +171,8 @@ def seed_aggregate(runs: DataFrame, experiment: str, metrics: Sequence[str]) ->
     long = runs.select(
         experiment, F.coalesce("protocol", F.lit("unspecified")).alias("protocol"),
         F.coalesce("training_mode", F.lit("supervised")).alias("training_mode"),
-        F.coalesce("paper_ready", F.lit(False)).alias("paper_ready"), F.explode(entries).alias("e"),
-    ).select(experiment, "protocol", "training_mode", "paper_ready", "e.*")
+        F.coalesce("paper_ready", F.lit(False)).alias("paper_ready"), F.explode(entries).alias("_e"),
+    ).select(experiment, "protocol", "training_mode", "paper_ready", "_e.*")
     required = F.count_if(F.col("value").isNull())
     checked = F.when(required > 0, F.raise_error("a run lacks a metric").cast("boolean")).otherwise(
         (F.count(F.lit(1)) >= 3) & F.bool_and("paper_ready")

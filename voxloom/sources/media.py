@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from voxloom.schemas import VIDEO_SUFFIXES
 
@@ -19,6 +19,26 @@ def read_media(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     )
 
 
+def stat_files(paths: DataFrame, column: str, root: str) -> DataFrame:
+    """Size of each path below the root, NULL when there is no such file.
+
+    Spark's file sources leave out empty files, so they need a look at the file system;
+    tasks ask for their own rows only.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            found = system.get_file_info([f"{base.rstrip('/')}/{p}" for p in batch[column]])
+            sizes = [i.size if i.type == fs.FileType.File else None for i in found]
+            yield batch.assign(size=pd.array(sizes, dtype="Int64"))
+
+    schema = T.StructType([*paths.schema.fields, T.StructField("size", T.LongType())])
+    return paths.mapInPandas(run, schema)
+
+
 def inventory(media: DataFrame, minimum: int = 256) -> DataFrame:
     """Size check and content digest per file."""
     return media.select(
@@ -86,18 +106,30 @@ def media_problem(media: DataFrame, kind: str) -> DataFrame:
     return media.select("path", "length", problem.alias("problem"))
 
 
-def media_issues(manifest: DataFrame, problems: DataFrame, kind: str) -> DataFrame:
-    """Issue rows of available media that are missing or broken.
+def media_issues(
+    manifest: DataFrame, problems: DataFrame, kind: str, root: str | None = None,
+) -> DataFrame:
+    """Issue rows of available media that are missing, empty or broken.
 
-    ``problems`` comes from :func:`media_problem`, its ``path`` relative to the root.
+    ``problems`` comes from :func:`media_problem`, its ``path`` relative to the root.  With
+    ``root`` given, files that were not read are looked up to tell empty from missing.
     """
     from voxloom.operators.rules import severity
 
     flag, column = {"audio": ("audio_available", "audio_path"), "video": ("visual_available", "video_path")}[kind]
     wanted = manifest.where(F.col(flag) & (F.col(column) != "")).select("sample_id", F.col(column).alias("path"))
     joined = wanted.join(problems.select("path", "problem", F.lit(True).alias("_f")), "path", "left")
+    broken = joined.where("_f is null or problem is not null")
+    if root is not None:
+        absent = stat_files(broken.where("_f is null").select("sample_id", "path"), "path", root)
+        broken = broken.where("_f is not null").unionByName(
+            absent.select(
+                "sample_id", "path", F.when(F.col("size") == 0, "empty").otherwise("missing").alias("problem"),
+                F.lit(True).alias("_f"),
+            )
+        )
     code = F.concat(F.when(F.col("_f").isNull(), "missing").otherwise(F.col("problem")), F.lit(f"_{kind}"))
-    return joined.where("_f is null or problem is not null").select(
+    return broken.select(
         code.alias("code"), severity(code).alias("severity"), F.col("path").alias("subject"), "sample_id"
     )
 
