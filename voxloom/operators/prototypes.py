@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from voxloom.functions.vectors import as_double, dot, l2_normalize, let, score
 
+MAX_CLASSES = 10_000
+
 
 def class_prototypes(df: DataFrame, label: str, vector: str, by: Sequence[str] = ()) -> DataFrame:
     """Element-wise mean vector per class, per episode when ``by`` names one."""
@@ -18,12 +20,17 @@ def class_prototypes(df: DataFrame, label: str, vector: str, by: Sequence[str] =
 
 
 def prototype_list(prototypes: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
-    """Prototypes of a group as one sorted array; its length is the class vocabulary."""
-    return prototypes.groupBy(*by).agg(
-        F.sort_array(
-            F.collect_list(F.struct(F.col(label).alias("class"), F.col("prototype")))
-        ).alias("prototypes")
+    """Prototypes of a group as one sorted array.
+
+    Its length is the class vocabulary; more than ``MAX_CLASSES`` means the label column is
+    no label, and the job fails rather than ship such an array to every task.
+    """
+    listed = F.sort_array(F.collect_list(F.struct(F.col(label).alias("class"), F.col("prototype"))))
+    grouped = prototypes.groupBy(*by).agg(listed.alias("prototypes"))
+    fits = F.when(F.size("prototypes") <= MAX_CLASSES, True).otherwise(
+        F.raise_error(f"more than {MAX_CLASSES} classes").cast("boolean")
     )
+    return grouped.where(fits)
 
 
 def attach_prototypes(

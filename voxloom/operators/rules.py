@@ -8,7 +8,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voxloom.functions.text import normalize_text
+from voxloom.functions.text import normalize_text, stays_inside_root
 from voxloom.schemas import ERROR_CODES, SPLITS
 
 IMBALANCE_RATIO = 3.0
@@ -23,7 +23,7 @@ def severity(code: Column) -> Column:
 
 
 def _blank(c: Column) -> Column:
-    return F.coalesce(c.rlike(r"(?U)^\s*$"), F.lit(True))
+    return ~F.coalesce(c.rlike(r"(?U)\S"), F.lit(False))
 
 
 def _missing(c: Column) -> Column:
@@ -34,8 +34,11 @@ def _true(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def row_rules(df: DataFrame, labels: Iterable[str]) -> DataFrame:
-    """Rules that need one row only; a single narrow pass, no shuffle."""
+def row_rules(df: DataFrame, labels: Iterable[str], check_paths: bool = False) -> DataFrame:
+    """Rules that need one row only; a single narrow pass, no shuffle.
+
+    ``check_paths`` adds ``path_outside_root`` for available media that leave the root.
+    """
     c = F.col
     flags = [c("audio_available"), c("text_available"), c("visual_available")]
     checks = [
@@ -60,6 +63,14 @@ def row_rules(df: DataFrame, labels: Iterable[str]) -> DataFrame:
         # NaN sorts above every number in Spark but is not "<= 0" either, as wanted.
         ("invalid_duration", "duration", _true(c("duration") <= 0)),
     ]
+    if check_paths:
+        checks += [
+            (
+                "path_outside_root", path,
+                _true(c(flag)) & ~_missing(c(path)) & ~_true(stays_inside_root(c(path))),
+            )
+            for flag, path in (("audio_available", "audio_path"), ("visual_available", "video_path"))
+        ]
     found = F.array_compact(
         F.array(
             *[
@@ -161,7 +172,10 @@ def group_issues(df: DataFrame, kinds: Iterable[str] = tuple(_GROUP_KEYS)) -> Da
 
 def class_imbalance(df: DataFrame, label: str, ratio: float = IMBALANCE_RATIO) -> DataFrame:
     """Largest over smallest class count among the labels present."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    return _imbalance(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")), ratio)
+
+
+def _imbalance(counts: DataFrame, ratio: float) -> DataFrame:
     spread = counts.agg(F.max("n").alias("largest"), F.min("n").alias("smallest"))
     share = F.col("largest").cast("double") / F.col("smallest")
     return spread.where(F.col("smallest") > 0).select(
@@ -181,33 +195,22 @@ def confounding(df: DataFrame, language: str, corpus: str) -> DataFrame:
     )
 
 
-def _dataset_issue(df: DataFrame, flag: str, code: str) -> DataFrame:
-    return df.where(flag).select(
-        F.lit(code).alias("code"), severity(F.lit(code)).alias("severity"),
-        F.lit("dataset").alias("subject"), F.lit(None).cast("string").alias("sample_id"),
-    )
-
-
-def path_issues(df: DataFrame) -> DataFrame:
-    """Available media whose path leaves the project root."""
-    from voxloom.functions.text import stays_inside_root
-
-    code = "path_outside_root"
-    bad = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    _true(F.col(flag)) & ~_missing(F.col(path)) & ~_true(stays_inside_root(F.col(path))),
-                    path,
-                )
-                for flag, path in (("audio_available", "audio_path"), ("visual_available", "video_path"))
-            ]
+def dataset_issues(df: DataFrame) -> DataFrame:
+    """Imbalance and confounding, both from one small contingency table."""
+    cells = df.groupBy("emotion", "language", "corpus").agg(F.count(F.lit(1)).alias("n"))
+    per_label = cells.groupBy("emotion").agg(F.sum("n").alias("n"))
+    found = [
+        (_imbalance(per_label, IMBALANCE_RATIO), "imbalanced", "class_imbalance"),
+        (confounding(cells, "language", "corpus"), "confounded", "language_corpus_confounding"),
+    ]
+    issues = [
+        facts.where(flag).select(
+            F.lit(code).alias("code"), severity(F.lit(code)).alias("severity"),
+            F.lit("dataset").alias("subject"), F.lit(None).cast("string").alias("sample_id"),
         )
-    )
-    return df.select(
-        F.lit(code).alias("code"), severity(F.lit(code)).alias("severity"),
-        F.explode(bad).alias("subject"), "sample_id",
-    )
+        for facts, flag, code in found
+    ]
+    return issues[0].unionByName(issues[1])
 
 
 def validate(
@@ -219,15 +222,7 @@ def validate(
     ``media`` is an optional issue table from :mod:`voxloom.sources.media`,
     ``near_duplicates`` the pair table of :mod:`voxloom.operators.neardup`.
     """
-    parts = [
-        row_rules(df, labels),
-        group_issues(df),
-        _dataset_issue(class_imbalance(df, "emotion"), "imbalanced", "class_imbalance"),
-        _dataset_issue(
-            confounding(df, "language", "corpus"), "confounded", "language_corpus_confounding"
-        ),
-        path_issues(df),
-    ]
+    parts = [row_rules(df, labels, check_paths=True), group_issues(df), dataset_issues(df)]
     if media is not None:
         parts.append(media)
     if near_duplicates is not None:

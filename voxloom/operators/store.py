@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from voxloom.functions.vectors import is_finite_vector, l2_normalize
+from voxloom.scratch import spread
 
 
 def contract_hash(columns: Sequence[str]) -> Column:
@@ -127,7 +128,7 @@ def pandas_encoder(fn: Callable[[pd.Series], Sequence[Sequence[float]]]) -> Call
                 vectors = [list(map(float, v)) for v in fn(batch[payload])]
                 yield pd.DataFrame({"key_hash": batch["key_hash"], "embedding": vectors})
 
-        return pending.select("key_hash", payload).mapInPandas(run, schema)
+        return spread(pending.select("key_hash", payload)).mapInPandas(run, schema)
 
     return encode
 
