@@ -157,7 +157,7 @@ def episodes_ordinary(spark, d):
     return out.select("episode", "task", "label", "role", "sample_id", "speaker_id")
 
 
-def _disjoint_sql(n_way=2, k=2, q=3, total=30, seed=17):
+def _disjoint_sql(n_way=2, k=1, q=2, total=30, seed=17):
     masks = episodes._class_masks(4, n_way)
     values = ", ".join(f"({m})" for m in masks)
 
@@ -168,7 +168,7 @@ def _disjoint_sql(n_way=2, k=2, q=3, total=30, seed=17):
         key = ("episode::VARCHAR", "label::VARCHAR", "role")
         return f"1 + ({h(*key, chr(39) + 'start' + chr(39))} % {n} + slot * (1 + {h(*key, chr(39) + 'stride' + chr(39))} % greatest(1, ({n} - 1) // {most}))) % {n}"
 
-    return f"""{M}, {_EXS},
+    return f"""{M}, {_EXS.replace('language AS task', 'corpus AS task')},
     c AS (SELECT task, speaker_id, label, count(*) AS n FROM exs GROUP BY 1, 2, 3),
     sm AS (SELECT task, speaker_id, sum(CASE WHEN n >= {k} THEN 1 << label ELSE 0 END)::BIGINT AS s_mask, sum(CASE WHEN n >= {q} THEN 1 << label ELSE 0 END)::BIGINT AS q_mask FROM c GROUP BY 1, 2),
     sets AS (SELECT v AS class_set FROM (VALUES {values}) t(v)),
@@ -201,22 +201,22 @@ def _disjoint_sql(n_way=2, k=2, q=3, total=30, seed=17):
 
 @query("episodes_disjoint", f"WITH {_disjoint_sql()} SELECT episode, task, label, role, sample_id, speaker_id FROM mem")
 def episodes_disjoint(spark, d):
-    out = episodes.disjoint_episodes(_emotion_examples(spark, d, "language"), 4, 2, 2, 3, 30)
+    out = episodes.disjoint_episodes(_emotion_examples(spark, d, "corpus"), 4, 2, 1, 2, 30)
     return out.select("episode", "task", "label", "role", "sample_id", "speaker_id")
 
 
 @query(
     "eligible_tasks",
-    f"""WITH {_disjoint_sql()}, o AS (SELECT task, label FROM exs GROUP BY 1, 2 HAVING count(*) >= 5)
+    f"""WITH {_disjoint_sql()}, o AS (SELECT task, label FROM exs GROUP BY 1, 2 HAVING count(*) >= 3)
     SELECT 'ordinary' AS mode, task, count(*) AS choices FROM o GROUP BY 2 HAVING count(*) >= 2
     UNION ALL SELECT 'speaker_disjoint', task, count(*) FROM elig GROUP BY 2""",
 )
 def eligible_tasks(spark, d):
-    ex = _emotion_examples(spark, d)
-    plain = episodes.eligible_tasks(ex, 2, 2, 3).select(
+    ex = _emotion_examples(spark, d, "corpus")
+    plain = episodes.eligible_tasks(ex, 2, 1, 2).select(
         F.lit("ordinary").alias("mode"), "task", F.size("classes").cast("bigint").alias("choices")
     )
-    sets = episodes.eligible_class_sets(ex, 4, 2, 2, 3).groupBy("task").agg(F.count(F.lit(1)).alias("choices"))
+    sets = episodes.eligible_class_sets(ex, 4, 2, 1, 2).groupBy("task").agg(F.count(F.lit(1)).alias("choices"))
     return plain.unionByName(sets.select(F.lit("speaker_disjoint").alias("mode"), "task", "choices"))
 
 
