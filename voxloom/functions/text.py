@@ -5,7 +5,7 @@ from pyspark.sql import Column, functions as F
 
 def normalize_text(text: Column) -> Column:
     """Case-folded text without non-word characters (accents and CJK are kept)."""
-    folded = F.regexp_replace(F.lower(text), "ß", "ss")
+    folded = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
     return F.regexp_replace(folded, r"[^\p{L}\p{N}_]+", "")
 
 

@@ -4,6 +4,7 @@ A rule that concerns a group yields one row per member, so a speaker holding a t
 the corpus never has its ids gathered into one array.
 """
 
+import hashlib
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -91,8 +92,10 @@ _GROUP_KEYS = {
     "video": lambda: F.col("video_path"),
     "speaker": lambda: F.col("speaker_id"),
     "source": lambda: F.col("source_video_id"),
-    "text": lambda: F.nullif(normalize_text(F.col("transcript")), F.lit("")),
+    # Texts travel as digests: the shuffle key stays 64 bytes long.
+    "text": lambda: F.sha2(normalize_text(F.col("transcript")), 256),
 }
+_EMPTY_TEXT = hashlib.sha256(b"").hexdigest()
 
 
 def _keyed(df: DataFrame, kinds: Iterable[str]) -> DataFrame:
@@ -100,15 +103,14 @@ def _keyed(df: DataFrame, kinds: Iterable[str]) -> DataFrame:
         *[
             F.struct(
                 F.lit(kind).alias("kind"),
-                # Texts travel as digests: the shuffle key stays 64 bytes long.
-                (F.sha2(_GROUP_KEYS[kind](), 256) if kind == "text" else _GROUP_KEYS[kind]()).alias("key"),
+                _GROUP_KEYS[kind]().alias("key"),
             )
             for kind in kinds
         ]
     )
     exploded = df.select("sample_id", "split", F.explode(keys).alias("k"))
     return exploded.select("sample_id", "split", "k.kind", "k.key").where(
-        F.col("key").isNotNull() & (F.col("key") != "")
+        F.col("key").isNotNull() & ~F.col("key").isin("", _EMPTY_TEXT)
     )
 
 

@@ -470,13 +470,11 @@ def dim_join(spark, d):
 
 @query(
     "pairing_check",
-    """SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing_media'
-      WHEN d.doc_id IS NULL THEN 'orphan_media' ELSE 'paired' END AS status
-    FROM (SELECT doc_id FROM documents WHERE lang <> 'de') d FULL JOIN labels l ON l.doc_id = d.doc_id""",
+    f"""WITH {M} SELECT coalesce(m.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing_media'
+      WHEN m.doc_id IS NULL THEN 'orphan_media' ELSE 'paired' END AS status FROM m FULL JOIN labels l ON l.doc_id = m.doc_id""",
 )
 def pairing_check(spark, d):
-    docs = table(spark, d, "documents").where("lang <> 'de'")
-    return joins.pairing_check(docs, table(spark, d, "labels"), "doc_id")
+    return joins.pairing_check(manifest(spark, d), table(spark, d, "labels"), "doc_id")
 
 
 @query(

@@ -123,16 +123,17 @@ def media_inventory(spark, d):
 
 @query(
     "media_issues",
-    f"""WITH {M}, v AS (SELECT sample_id, video_path, doc_id, CASE WHEN doc_id % 10 = 0 THEN 'missing' WHEN doc_id % 15 = 1 THEN 'empty' WHEN doc_id % 6 = 0 THEN 'corrupt' END AS p
-      FROM m WHERE visual_available)
+    f"""WITH {M}, v AS (SELECT sample_id, video_path, CASE WHEN l.quality = 0 THEN 'missing' WHEN l.toxic = 1 THEN 'empty' WHEN language <> 'en' THEN 'corrupt' END AS p
+      FROM m JOIN labels l USING (doc_id) WHERE visual_available)
     SELECT p || '_video' AS code, 'error' AS severity, video_path AS subject, sample_id FROM v WHERE p IS NOT NULL""",
 )
 def media_issues(spark, d):
-    k = F.col("doc_id")
-    payload = F.concat(F.when(k % 6 == 0, "00").otherwise("0000001866747970"), F.hex("text"))
-    files = table(spark, d, "documents").where("doc_id % 10 <> 0").select(
-        F.concat(F.lit("video/"), k.cast("string"), F.lit(".mp4")).alias("path"),
-        F.unhex(F.when(k % 15 == 1, "").otherwise(payload)).alias("content"),
+    """Files exist for documents of quality 1; toxic ones are empty, foreign ones broken."""
+    payload = F.concat(F.when(F.col("lang") != "en", "00").otherwise("0000001866747970"), F.hex("text"))
+    rated = table(spark, d, "labels").where("quality = 1")
+    files = table(spark, d, "documents").join(rated, "doc_id").select(
+        F.concat(F.lit("video/"), F.col("doc_id").cast("string"), F.lit(".mp4")).alias("path"),
+        F.unhex(F.when(F.col("toxic") == 1, "").otherwise(payload)).alias("content"),
     ).select("path", F.octet_length("content").cast("bigint").alias("length"), "content")
     return media.media_issues(manifest(spark, d), media.media_problem(files, "video"), "video")
 

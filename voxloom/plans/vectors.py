@@ -96,15 +96,15 @@ def cache_materialize(spark, d):
     "SELECT sha256(text) AS key_hash, count(*) > 1 AS repeated, 16 AS embedding_dimension, 1::BIGINT AS copies FROM documents GROUP BY 1",
 )
 def incremental_cache(spark, d):
-    """Documents arrive in files, then all arrive once more; every text is stored once."""
+    """English documents arrive first, then all of them; every text is stored once."""
     from voxloom.streaming.incremental import incremental_cache as run, read_new_files
 
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
     root = new_folder(spark, "stream")
     incoming, path, checkpoint = f"{root}/in", f"{root}/store", f"{root}/checkpoint"
-    for part in (docs.where("doc_id % 2 = 0"), docs):
+    for part in (docs.where("lang = 'en'").drop("lang"), docs.drop("lang")):
         part.write.mode("append").parquet(incoming)
-        run(read_new_files(spark, incoming, docs.schema, 4), "text", path, checkpoint, "c1", 16).awaitTermination()
+        run(read_new_files(spark, incoming, part.schema, 4), "text", path, checkpoint, "c1", 16).awaitTermination()
     stored = tables.read_embeddings(spark, path, "text", "c1").groupBy("key_hash").agg(
         F.count(F.lit(1)).alias("copies"), F.max(F.size("embedding")).alias("embedding_dimension")
     )
@@ -114,18 +114,18 @@ def incremental_cache(spark, d):
 
 @query(
     "index_alignment",
-    f"""WITH {M}, i AS (SELECT 'doc-' || lpad(vec_id::VARCHAR, 8, '0') AS sample_id FROM embeddings WHERE vec_id % 5 <> 0),
-    a AS (SELECT sample_id FROM m WHERE audio_available),
+    f"""WITH {M}, i AS (SELECT 'doc-' || lpad(vec_id::VARCHAR, 8, '0') AS sample_id FROM embeddings),
+    a AS (SELECT sample_id FROM m WHERE text_available),
     d AS (SELECT 'missing' AS side, sample_id FROM a WHERE sample_id NOT IN (SELECT sample_id FROM i)
       UNION ALL SELECT 'extra', sample_id FROM i WHERE sample_id NOT IN (SELECT sample_id FROM a)),
     r AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY sample_id) AS rn FROM d)
     SELECT side, count(*) AS n, string_agg(sample_id, ',' ORDER BY sample_id) FILTER (WHERE rn <= 5) AS first_ids FROM r GROUP BY 1""",
 )
 def index_alignment(spark, d):
-    index = table(spark, d, "embeddings").where("vec_id % 5 <> 0").select(
+    index = table(spark, d, "embeddings").select(
         F.concat(F.lit("doc-"), F.lpad(F.col("vec_id").cast("string"), 8, "0")).alias("sample_id")
     )
-    return assemble.index_alignment(manifest(spark, d), index, "audio_available")
+    return assemble.index_alignment(manifest(spark, d), index, "text_available")
 
 
 _PATTERN = """CASE WHEN audio_available THEN 'A' ELSE '' END || CASE WHEN text_available THEN 'T' ELSE '' END || CASE WHEN visual_available THEN 'V' ELSE '' END"""
