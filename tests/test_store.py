@@ -82,3 +82,21 @@ def test_class_weights_are_balanced(spark):
     got = {r.l: r.weight for r in labels.class_weights(df, "l", ["a", "b"]).collect()}
     assert got == {"a": pytest.approx(4 / 6), "b": pytest.approx(2.0)}
     assert df.select(F.col("l")).count() == 4
+
+
+def test_contract_documents(spark, tmp_path):
+    import json
+
+    good = {"modality": "visual", "cache_dtype": "float32", "embedding_dimension": 2, "manifest_sha256": "m", "frames_per_clip": 8}
+    cases = {
+        "a": (good, {}, []), "b": ({**good, "cache_dtype": "float16", "modality": "audio"}, {}, ["modality", "cache_dtype"]),
+        "c": ({**good, "embedding_dimension": 3, "frames_per_clip": 0}, {}, ["dimension", "frames_per_clip"]),
+        "d": ({**good, "manifest_sha256": None}, {}, ["manifest"]), "e": ({**good, "manifest_sha256": None}, {"summary_sha256": "m"}, []),
+        "f": (good, {"tensor_key": "frame_embeddings"}, ["tensor_key"]),
+        "g": ({**good, "stores_frame_embeddings": True}, {"tensor_key": "frame_embeddings"}, []),
+    }
+    for name, (document, options, want) in cases.items():
+        path = tmp_path / f"{name}.json"
+        path.write_text(json.dumps(document, indent=1))
+        got = tables.contract_problems(tables.read_contracts(spark, str(path)), "visual", 2, "m", **options).first()
+        assert got.problems == want, name

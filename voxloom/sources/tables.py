@@ -43,6 +43,45 @@ def read_annotations(
     return docs.select("*", F.regexp_replace(F.col("_metadata.file_path"), prefix, "").alias("relative_path"))
 
 
+CONTRACT = (
+    "schema_version int, modality string, model_identifier string, resolved_revision string, cache_dtype string, "
+    "embedding_dimension int, expected_embedding_dimension int, manifest_sha256 string, frames_per_clip int, "
+    "stores_frame_embeddings boolean"
+)
+
+
+def read_contracts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """One settings document per file."""
+    return spark.read.schema(CONTRACT).option("multiLine", True).json(paths)
+
+
+def contract_problems(
+    contracts: DataFrame, modality: str, dim: int, manifest_sha256: str, summary_sha256: str | None = None,
+    tensor_key: str = "embedding",
+) -> DataFrame:
+    """Adds ``problems``: why a contract does not fit the modality, dimension or manifest.
+
+    A contract without a manifest hash takes the one of its run summary.
+    """
+    if tensor_key not in ("embedding", "frame_embeddings"):
+        raise ValueError(f"unsupported tensor_key: {tensor_key}")
+    declared = F.coalesce("embedding_dimension", "expected_embedding_dimension")
+    source = F.coalesce(F.col("manifest_sha256"), F.lit(summary_sha256))
+    frames = tensor_key == "frame_embeddings"
+    problems = F.array(
+        F.when(~F.col("modality").eqNullSafe(modality), "modality"),
+        F.when(~F.col("cache_dtype").eqNullSafe("float32"), "cache_dtype"),
+        F.when(
+            F.lit(frames) & ~(F.lit(modality == "visual") & F.coalesce("stores_frame_embeddings", F.lit(False))),
+            "tensor_key",
+        ),
+        F.when(declared.isNotNull() & (declared != dim), "dimension"),
+        F.when(~source.eqNullSafe(manifest_sha256), "manifest"),
+        F.when(F.lit(modality == "visual") & ~F.coalesce(F.col("frames_per_clip") > 0, F.lit(False)), "frames_per_clip"),
+    )
+    return contracts.withColumn("problems", F.array_compact(problems))
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EMBEDDING_INDEX).json(path)
 
