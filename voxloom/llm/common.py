@@ -72,12 +72,12 @@ def pick_rows(docs: DataFrame, winners: DataFrame, identity: Column, id_col: str
     Both are unique there, so a hot text is spread by its ids.  Of rows equal in both,
     one stays.  All columns of ``docs`` come back, none added.
     """
-    key, rank = free_name(docs, "_key"), free_name(docs, "_rank")
+    key, rank, win_id, win_key = (free_name(docs, c) for c in ("_key", "_rank", "win_id", "win_key"))
+    named = winners.select(F.col("win_id").alias(win_id), F.col("win_key").alias(win_key))
     keyed = docs.withColumn(key, identity)
-    same = keyed[id_col].eqNullSafe(winners["win_id"]) & keyed[key].eqNullSafe(winners["win_key"])
+    same = F.col(id_col).eqNullSafe(F.col(win_id)) & F.col(key).eqNullSafe(F.col(win_key))
     order = Window.partitionBy(F.col(id_col), F.col(key)).orderBy(F.lit(0))
     return (
-        keyed.join(winners, same).drop("win_id", "win_key")
-        .withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1)
+        keyed.join(named, same).withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1)
         .select(*[F.col(f"`{c}`") for c in docs.columns])
     )

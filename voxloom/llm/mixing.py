@@ -218,19 +218,18 @@ def mix(docs: DataFrame, shards: int | None = None) -> DataFrame:
 def mixed_documents(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """The mix itself: each document as often as it was drawn, with its own columns; one
     partition per group of shards, a shard's documents together and in shuffled order."""
-    key, nth, drawn, turn = (free_name(docs, c) for c in ("_key", "_nth", "_draw", "_turn"))
+    key, nth, drawn, turn, m_id, m_key, m_nth = (
+        free_name(docs, c) for c in ("_key", "_nth", "_draw", "_turn", "m_id", "m_key", "m_nth")
+    )
     mixed = mix(docs, shards).where("copies > 0").select(
-        F.col("doc_id").alias("m_id"), F.col("text_key").alias("m_key"), "draws", "turn",
-        F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy("source")).alias("m_nth"),
+        F.col("doc_id").alias(m_id), F.col("text_key").alias(m_key), "draws", F.col("turn").alias(turn),
+        F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy("source")).alias(m_nth),
     )
-    mixed = mixed.select("m_id", "m_key", "m_nth", F.col("turn").alias(turn), F.explode("draws").alias(drawn))
+    mixed = mixed.select(m_id, m_key, m_nth, turn, F.explode("draws").alias(drawn))
     numbered = docs.withColumn(key, F.xxhash64("text")).withColumn(
         nth, F.row_number().over(Window.partitionBy("doc_id", key).orderBy("source"))
     )
-    same = (
-        numbered["doc_id"].eqNullSafe(mixed["m_id"]) & (numbered[key] == mixed["m_key"])
-        & (numbered[nth] == mixed["m_nth"])
-    )
+    same = F.col("doc_id").eqNullSafe(F.col(m_id)) & (F.col(key) == F.col(m_key)) & (F.col(nth) == F.col(m_nth))
     shard = F.col(drawn)["shard"]
     return (
         numbered.join(mixed, same).repartition(shard)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxloom.llm import bpe, exact, hnsw, language, mixing, simhash
+from voxloom.llm import bpe, brown_lm, exact, hnsw, language, mixing, pii, simhash, substrings, urls
 from voxloom.llm.common import table
 
 
@@ -11,6 +11,15 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op2_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model, counts = brown_lm.train_model(docs)
+    return brown_lm.score_documents(docs, model, counts).select(
+        "doc_id", brown_lm.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score",
+    )
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"))
 
@@ -23,6 +32,18 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal(table(spark, sf_dir, "documents"))
+
+
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.drop_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -58,8 +79,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_brown_lm": op2_brown_lm,
     "op3_bpe": op3_bpe,
     "op4_language": op4_language,
+    "op5_urls": op5_urls,
+    "op6_pii": op6_pii,
+    "op7_substrings": op7_substrings,
     "op8_hnsw": op8_hnsw,
     "op9_exact": op9_exact,
     "op10_mix": op10_mix,
