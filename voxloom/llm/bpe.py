@@ -25,6 +25,8 @@ from voxloom.llm.common import raw, result, text_batches
 
 REMEMBERED = 400_000  # pre-tokens a worker remembers
 LONGEST = 64  # bytes of a remembered pre-token
+MASK = (1 << 64) - 1
+ODD, SPREAD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd multipliers that mix 64-bit words
 
 # The letters, numbers and white space among the first 256 code points.
 LATIN_LETTERS = rb"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
@@ -72,7 +74,7 @@ class PerfectHash:
                 break
             d = 0
             while True:
-                slots = {((h >> 20) + d * ((h >> 41) | 1)) % n for h in groups[b]}
+                slots = {self._place(h, d) for h in groups[b]}
                 if len(slots) == len(groups[b]) and not any(used[s] for s in slots):
                     break
                 d += 1
@@ -90,7 +92,11 @@ class PerfectHash:
     def slot(self, key: bytes) -> int:
         h = xxhash.xxh64_intdigest(key)
         d = self.shift[h % self.buckets]
-        return -1 - d if d < 0 else ((h >> 20) + d * ((h >> 41) | 1)) % self.n
+        return -1 - d if d < 0 else self._place(h, d)
+
+    def _place(self, h: int, d: int) -> int:
+        """A slot that looks independent for every displacement ``d``."""
+        return (((h + d * ODD) * SPREAD & MASK) >> 20) % self.n
 
 
 class Encoder:
