@@ -98,9 +98,11 @@ def test_component_split_is_optimal(spark, seed):
 def test_component_split_places_every_component_beyond_the_exact_ones(spark):
     rng = random.Random(3)
     comps = [(40 - i, [rng.randint(1, 9) for _ in range(3)]) for i in range(30)]
-    got = splits.component_split(_components(spark, comps), "component", 3, exact=6).collect()
+    got = splits.component_split(_components(spark, comps), "component", 3, method="hashed_tail", head_size=6).collect()
+    with pytest.raises(ValueError, match="hashed_tail"):
+        splits.component_split(_components(spark, comps), "component", 3)
     assert {r.component for r in got} == set(range(30)) and len(got) == 30
-    assert {r.method for r in got} == {"exact_head_hashed_tail"} and {r.split for r in got} == set(SPLITS)
+    assert {r.method for r in got} == {"hashed_tail"} and {r.split for r in got} == set(SPLITS)
 
 
 def test_component_split_needs_three(spark):

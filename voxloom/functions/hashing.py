@@ -15,12 +15,13 @@ def hash_key(*parts) -> Column:
 
 
 def hash_int(*parts) -> Column:
-    """First 32 bits of the hash as a bigint in [0, 2^32)."""
-    return F.conv(F.substring(hash_key(*parts), 1, 8), 16, 10).cast("bigint")
+    """First 60 bits of the hash as a bigint in [0, 2^60)."""
+    return F.conv(F.substring(hash_key(*parts), 1, 15), 16, 10).cast("bigint")
 
 
 def hash_uniform(*parts) -> Column:
-    return hash_int(*parts).cast("double") / F.lit(4294967296.0)
+    """52 bits of the hash as a double in [0, 1), exactly."""
+    return F.conv(F.substring(hash_key(*parts), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def hash_ranked(df: DataFrame, keys: list[str], order: str, tie: str) -> DataFrame:

@@ -67,3 +67,9 @@ def filename_parts(name: Column) -> list[Column]:
         F.when(stem.rlike(FILENAME_PATTERN), F.regexp_extract(stem, FILENAME_PATTERN, i + 1)).alias(n)
         for i, n in enumerate(names)
     ]
+
+
+def zero_padded(number: Column, width: int) -> Column:
+    """The number in at least ``width`` digits; a longer one is never cut."""
+    digits = number.cast("string")
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0"))

@@ -5,6 +5,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxloom.functions.hashing import hash_uniform
+from voxloom.functions.text import zero_padded
 from voxloom.functions.vectors import as_double, is_finite_vector, zeros
 from voxloom.operators.labels import lookup
 from voxloom.operators.records import audio_quality, text_quality, visual_quality
@@ -187,10 +188,10 @@ def synthetic_examples(
     patterns = [(1, 1, 1), (1, 1, 0), (1, 0, 1), (0, 1, 1), (1, 0, 0), (0, 1, 0), (0, 0, 1)]
     masks = F.array(*[F.array(*[F.lit(bool(x)) for x in p]) for p in patterns])
     base = df.select(
-        F.concat(F.lit(f"synthetic-{seed}-"), F.lpad(i.cast("string"), 10, "0")).alias("sample_id"),
+        F.concat(F.lit(f"synthetic-{seed}-"), zero_padded(i, 10)).alias("sample_id"),
         i.alias("_i"), label.alias("label"), language.alias("language"), corpus.alias("corpus"),
         F.element_at(masks, (i % 7 + 1).cast("int")).alias("modality_mask"),
-        F.concat(F.lit(f"{split}-speaker-"), F.lpad(F.floor(i / n_labels).cast("string"), 10, "0")).alias("speaker_id"),
+        F.concat(F.lit(f"{split}-speaker-"), zero_padded(F.floor(i / n_labels), 10)).alias("speaker_id"),
         F.lit(split).alias("split"),
     )
 

@@ -130,7 +130,11 @@ def _has(mask: Column, wanted: Column) -> Column:
 def _speaker_masks(examples: DataFrame, k_shot: int, query: int) -> DataFrame:
     """Per speaker the bit sets of classes it can support and query."""
     counts = examples.groupBy("task", "speaker_id", "label").agg(F.count(F.lit(1)).alias("n"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("label").cast("int"))
+    label = F.col("label").cast("int")
+    inside = F.when(label.between(0, 62), label).otherwise(
+        F.raise_error("speaker-disjoint episodes take labels 0 to 62").cast("int")
+    )
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), inside)
     none = F.lit(0).cast("bigint")
     return counts.groupBy("task", "speaker_id").agg(
         F.bit_or(F.when(F.col("n") >= k_shot, bit).otherwise(none)).alias("s_mask"),

@@ -34,8 +34,8 @@ def per_class_metrics(
     """Recall, precision, F1 and support of every configured class per slice.
 
     The first aggregation leaves at most k*k rows per slice; each of them then adds to
-    its target and to its predicted class, and an empty row per class keeps absent
-    classes at zero.
+    its target and to its predicted class, and one empty row per slice and class keeps
+    absent classes at zero.
     """
     by = list(by)
     cells = _cells(preds, target, prediction, k, by)
@@ -50,10 +50,12 @@ def per_class_metrics(
     entries = F.array(
         entry(F.col("t"), n, zero, F.when(F.col("t") == F.col("p"), n).otherwise(zero)),
         entry(F.col("p"), zero, n, zero),
-        *[entry(F.lit(c), zero, zero, zero) for c in range(k)],
     )
+    classes = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_c")
+    grid = cells.select(*by, F.lit(True).alias("_s")).distinct().select(*by, classes)
     sums = (
-        cells.select(*by, F.explode(entries).alias("_e")).groupBy(*by, "_e.class")
+        cells.select(*by, F.explode(entries).alias("_e"))
+        .unionByName(grid.select(*by, entry(F.col("_c"), zero, zero, zero).alias("_e"))).groupBy(*by, "_e.class")
         .agg(*[F.sum(f"_e.{x}").alias(x) for x in ("support", "predicted", "tp")])
     )
     tp = F.col("tp").cast("double")

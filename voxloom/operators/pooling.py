@@ -30,35 +30,41 @@ def masked_mean(steps: DataFrame, owner: str, vector: str, mask: str) -> DataFra
     )
 
 
-def _moments(mean: Column, mean_sq: Column) -> Column:
-    var = F.zip_with(mean_sq, mean, lambda q, m: q - m * m)
-    return F.concat(mean, F.transform(var, lambda x: F.sqrt(F.greatest(x, F.lit(VARIANCE_FLOOR)))))
+def _floored(mean: Column, variance: Column) -> Column:
+    return F.concat(mean, F.transform(variance, lambda x: F.sqrt(F.greatest(x, F.lit(VARIANCE_FLOOR)))))
 
 
 def statistics_pool(steps: DataFrame, owner: str, vector: str, mask: str) -> DataFrame:
-    """Population mean and standard deviation (floored) of the valid steps, concatenated."""
-    valid = steps.where(mask).withColumn(
-        "_sq", F.transform(as_double(F.col(vector)), lambda x: x * x)
+    """Population mean and standard deviation (floored) of the valid steps, concatenated.
+
+    The summarizer keeps centred sums, so a large offset costs no digits; its sample
+    variance is scaled back to the population's.
+    """
+    v = array_to_vector(as_double(F.col(vector)))
+    per = steps.where(mask).groupBy(owner).agg(
+        _mean(vector).alias("_m"), vector_to_array(Summarizer.variance(v)).alias("_v"), F.count(F.lit(1)).alias("_n")
     )
-    per = valid.groupBy(owner).agg(_mean(vector).alias("_m"), _mean("_sq").alias("_q"))
-    return per.select(owner, _moments(F.col("_m"), F.col("_q")).alias("pooled"))
+    population = F.transform("_v", lambda x: x * (F.col("_n") - 1) / F.col("_n"))
+    return per.select(owner, _floored(F.col("_m"), population).alias("pooled"))
 
 
 def attentive_pool(steps: DataFrame, owner: str, vector: str, mask: str) -> DataFrame:
     """Like :func:`statistics_pool`, weighted by softmax of each step's mean energy.
 
-    The softmax needs only the group maximum, so it is two mergeable aggregations; no
-    group is gathered.
+    The softmax needs only the group maximum, and the variance is a second pass around the
+    weighted mean: three mergeable aggregations; no group is gathered.
     """
     v = as_double(F.col(vector))
     energy = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x) / F.size(v)
-    valid = steps.where(mask).withColumn("_e", energy).withColumn("_sq", F.transform(v, lambda x: x * x))
+    valid = steps.where(mask).withColumn("_e", energy)
     peak = valid.groupBy(owner).agg(F.max("_e").alias("_peak"))
     weighted = valid.join(peak, owner).withColumn("_w", F.exp(F.col("_e") - F.col("_peak")))
-    per = weighted.groupBy(owner).agg(
-        _mean(vector, F.col("_w")).alias("_m"), _mean("_sq", F.col("_w")).alias("_q")
+    means = weighted.groupBy(owner).agg(_mean(vector, F.col("_w")).alias("_m"))
+    centred = weighted.join(means, owner).withColumn(
+        "_sq", F.zip_with(v, F.col("_m"), lambda x, m: (x - m) * (x - m))
     )
-    return per.select(owner, _moments(F.col("_m"), F.col("_q")).alias("pooled"))
+    spread = centred.groupBy(owner).agg(_mean("_sq", F.col("_w")).alias("_v"))
+    return means.join(spread, owner).select(owner, _floored(F.col("_m"), F.col("_v")).alias("pooled"))
 
 
 def pool_hidden(steps: DataFrame, owner: str, vector: str, mask: str, pooling: str) -> DataFrame:

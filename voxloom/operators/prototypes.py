@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from voxloom.functions.vectors import as_double, dot, l2_normalize, let, score
 
-MAX_CLASSES = 10_000
+#: Bytes of one group's prototypes that a task may hold next to its rows.
+PROTOTYPE_BYTES = 256 << 20
 
 
 def class_prototypes(df: DataFrame, label: str, vector: str, by: Sequence[str] = ()) -> DataFrame:
@@ -22,13 +23,14 @@ def class_prototypes(df: DataFrame, label: str, vector: str, by: Sequence[str] =
 def prototype_list(prototypes: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Prototypes of a group as one sorted array.
 
-    Its length is the class vocabulary; more than ``MAX_CLASSES`` means the label column is
-    no label, and the job fails rather than ship such an array to every task.
+    Its size is the class vocabulary times the dimension; beyond ``PROTOTYPE_BYTES`` the job
+    fails rather than ship such an array to every task.
     """
-    listed = F.sort_array(F.collect_list(F.struct(F.col(label).alias("class"), F.col("prototype"))))
+    listed = F.sort_array(F.collect_list(F.struct(F.col(label).alias("class"), F.col("prototype"), l2_normalize(F.col("prototype")).alias("unit"))))
     grouped = prototypes.groupBy(*by).agg(listed.alias("prototypes"))
-    fits = F.when(F.size("prototypes") <= MAX_CLASSES, True).otherwise(
-        F.raise_error(f"more than {MAX_CLASSES} classes").cast("boolean")
+    width = F.coalesce(F.size(F.element_at("prototypes", 1)["prototype"]), F.lit(0)).cast("bigint")
+    fits = F.when(F.size("prototypes") * width * 8 <= PROTOTYPE_BYTES, True).otherwise(
+        F.raise_error(f"prototypes of more than {PROTOTYPE_BYTES} bytes").cast("boolean")
     )
     return grouped.where(fits)
 
@@ -49,7 +51,21 @@ def attach_prototypes(
 
 
 def logits(vector: Column, distance: str = "cosine", temperature: float = 0.1) -> Column:
-    """Array of ``(logit, class)`` against the attached prototypes, in class order."""
+    """Array of ``(logit, class)`` against the attached prototypes, in class order.
+
+    For the cosine both sides come at unit length (see :func:`attach_prototypes`), so a
+    pair costs one product.
+    """
+    if distance == "cosine":
+        if temperature <= 0:
+            raise ValueError("temperature must be positive")
+        return let(
+            l2_normalize(vector),
+            lambda q: F.transform(
+                F.col("prototypes"),
+                lambda p: F.struct((dot(q, p["unit"]) / F.lit(float(temperature))).alias("logit"), p["class"].alias("class")),
+            ),
+        )
     return F.transform(
         F.col("prototypes"),
         lambda p: F.struct(score(vector, p["prototype"], distance, temperature).alias("logit"), p["class"].alias("class")),

@@ -5,7 +5,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from voxloom.functions.hashing import hash_key, hash_ranked
+from voxloom.functions.hashing import hash_key, hash_ranked, hash_uniform
 from voxloom.schemas import SPLIT_RATIOS, SPLITS
 
 EXACT_COMPONENTS = 13  # 3^13 assignments are enumerated by one small job
@@ -135,27 +135,31 @@ def component_table(
 
 def component_split(
     components: DataFrame, component: str, label_count: int,
-    ratios: Sequence[float] = SPLIT_RATIOS, exact: int = EXACT_COMPONENTS,
+    ratios: Sequence[float] = SPLIT_RATIOS, method: str = "exact", head_size: int = EXACT_COMPONENTS,
 ) -> DataFrame:
     """Assign whole components to three splits with the least balance error.
 
-    ``components`` comes from :func:`component_table`.  The ``exact`` largest components
-    (by speakers, then first speaker) are enumerated as 3^n assignments in one Spark job.
-    Components beyond that are placed by hash share first and enter the score as fixed
-    counts, so no component is left out however many there are.
+    ``components`` comes from :func:`component_table`.  ``exact`` enumerates all 3^n
+    assignments in one Spark job and refuses more than ``EXACT_COMPONENTS`` components.
+    ``hashed_tail`` does so for the ``head_size`` largest (by speakers, then first speaker);
+    the others are placed by hash share first and enter the score as fixed counts.  The
+    caller chooses; the number of components never does.
     """
+    if method not in ("exact", "hashed_tail"):
+        raise ValueError(f"unsupported method: {method}")
+    most = EXACT_COMPONENTS + 1 if method == "exact" else head_size
     spark = components.sparkSession
     targets = _targets(ratios)
     counts = [f"n_{i}" for i in range(label_count)]
     order = [F.col("speakers").desc(), F.col("first_speaker").asc()]
-    head = components.orderBy(*order).limit(exact).collect()  # at most `exact` short rows
+    head = components.orderBy(*order).limit(most).collect()  # a few short rows
+    if method == "exact" and len(head) > EXACT_COMPONENTS:
+        raise ValueError(f"more than {EXACT_COMPONENTS} components: choose hashed_tail")
     if len(head) < len(SPLITS):
         raise ValueError("at least three components are required")
     head_ids = [r[component] for r in head]
     rest = components.where(~F.col(component).isin(head_ids))
-    u = F.conv(F.substring(hash_key(17, F.col(component)), 1, 8), 16, 10).cast("double") / F.lit(
-        4294967296.0
-    )
+    u = hash_uniform(17, F.col(component))
     rest = rest.withColumn(
         "_split", F.when(u < targets[0], 0).when(u < targets[0] + targets[1], 1).otherwise(2)
     )
@@ -168,7 +172,7 @@ def component_split(
 
     n = len(head)
     # One row per assignment with the totals of its three splits.  Counts per component are
-    # literals (at most `exact` short rows), summed per split inside the row.
+    # literals (a few short rows), summed per split inside the row.
     fields = ["speakers", *counts]
     facts = F.array(*[F.array(*[F.lit(int(r[f])).cast("bigint") for f in fields]) for r in head])
     fixed = F.array(
@@ -230,7 +234,6 @@ def component_split(
     )
     names = F.array(*[F.lit(s) for s in SPLITS])
     others = rest.select(component, F.element_at(names, F.col("_split") + 1).alias("split"))
-    method = "exact" if not tail else "exact_head_hashed_tail"
     return placed.unionByName(others).select(
         component, "split", F.lit(float(value)).alias("score"), F.lit(method).alias("method")
     )

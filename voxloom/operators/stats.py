@@ -191,7 +191,9 @@ def run_aggregate(
     """Aggregate long run records ``(run, protocol, synthetic, paper_ready, k, metric, value)``.
 
     ``k`` is NULL for the headline metrics and the shot count for few-shot ones.  An override
-    may name runs without a protocol but never contradict an explicit one.
+    may name runs without a protocol but never contradict an explicit one.  Runs of several
+    protocols or training modes, and runs with different sets of shot counts, are refused;
+    ``complete`` tells whether every run reports the metric.
     """
     if protocol_override is not None and not protocol_override.strip():
         raise ValueError("protocol override must not be blank")
@@ -202,16 +204,28 @@ def run_aggregate(
         protocol = F.when(
             clash, F.raise_error("protocol override conflicts with an explicit protocol").cast("string")
         ).otherwise(wanted)
-    data = runs.withColumn("protocol", protocol)
-    total = runs.agg(F.count_distinct(run).alias("runs"))
+    mode = F.col("training_mode") if "training_mode" in runs.columns else F.lit(None).cast("string")
+    data = runs.withColumn("protocol", protocol).withColumn("_mode", F.coalesce(mode, F.lit("supervised")))
+    per_run = data.groupBy(run).agg(
+        F.min("protocol").alias("p0"), F.max("protocol").alias("p1"), F.min("_mode").alias("m0"), F.max("_mode").alias("m1"),
+        F.array_join(F.array_sort(F.collect_set("k")), ",").alias("shots"),
+    )
+    total = per_run.agg(
+        F.count(F.lit(1)).alias("runs"), (F.min("p0") == F.max("p1")).alias("one_protocol"),
+        (F.min("m0") == F.max("m1")).alias("one_mode"), (F.min("shots") == F.max("shots")).alias("one_set"),
+    )
+    facts = total.select(F.struct("*").alias("f")).scalar()
+    refused = F.lit(None).cast("string")
+    for flag, what in (("one_set", "shot counts"), ("one_mode", "training_mode"), ("one_protocol", "protocol")):
+        refused = F.when(~F.col("_f")[flag], F.raise_error(f"cannot mix several values of {what}").cast("string")).otherwise(refused)
+    data = data.withColumn("_f", facts).withColumn("protocol", F.coalesce(refused, F.col("protocol")))
     summary = data.groupBy("k", "metric").agg(
-        _single("protocol", "protocol").alias("protocol"),
+        F.min("protocol").alias("protocol"), F.max("_f.runs").alias("_runs"),
         F.bool_and(F.coalesce("synthetic", F.lit(False))).alias("synthetic"),
         F.bool_and(F.coalesce("paper_ready", F.lit(False))).alias("paper_ready"),
         *mean_ci95(F.col("value")),
     )
-    # Every run must report every (k, metric): otherwise the K sets differ.
-    return summary.withColumn("complete", F.col("n") == total.scalar())
+    return summary.withColumn("complete", F.col("n") == F.col("_runs")).drop("_runs")
 
 
 def early_stopping(history: DataFrame, run: str, epoch: str, score: str, patience: int) -> DataFrame:
@@ -240,27 +254,27 @@ def early_stopping(history: DataFrame, run: str, epoch: str, score: str, patienc
 
 
 def limitations(df: DataFrame, pilot: bool, few_transcripts: int = 20) -> DataFrame:
-    """Limitation notes of a corpus, one row each."""
+    """Limitations of a corpus as codes with the value that shows them, one row each."""
     facts = df.agg(
         F.min("language").alias("lang_lo"), F.max("language").alias("lang_hi"),
         F.min("corpus").alias("corpus_lo"), F.max("corpus").alias("corpus_hi"),
     )
     hashes = df.where("transcript <> ''").select(F.sha2("transcript", 256).alias("h")).distinct()
     unique = hashes.agg(F.count(F.lit(1)).alias("n"))
+    note = lambda code, value=None: F.struct(
+        F.lit(code).alias("limitation"), (F.lit(None) if value is None else value).cast("string").alias("value")
+    )
     notes = F.array_compact(
         F.array(
-            F.when(F.col("lang_lo") == F.col("lang_hi"), F.concat(F.lit("single language ("), "lang_lo", F.lit(")"))),
-            F.when(F.col("corpus_lo") == F.col("corpus_hi"), F.concat(F.lit("single corpus ("), "corpus_lo", F.lit(")"))),
-            F.when(F.lit(pilot), "pilot subset"),
-            F.lit("single seed unless repeated explicitly"),
-            F.when(
-                F.col("n") <= few_transcripts,
-                F.concat(F.lit("only "), F.col("n").cast("string"), F.lit(" unique transcript strings")),
-            ),
-            F.lit("not a paper-ready comparison"),
+            F.when(F.col("lang_lo") == F.col("lang_hi"), note("one_language", F.col("lang_lo"))),
+            F.when(F.col("corpus_lo") == F.col("corpus_hi"), note("one_corpus", F.col("corpus_lo"))),
+            F.when(F.lit(pilot), note("pilot")),
+            note("one_seed"),
+            F.when(F.col("n") <= few_transcripts, note("few_transcripts", F.col("n"))),
+            note("not_paper_ready"),
         )
     )
-    return facts.withColumn("n", unique.scalar()).select(F.explode(notes).alias("limitation"))
+    return facts.withColumn("n", unique.scalar()).select(F.explode(notes).alias("_l")).select("_l.*")
 
 
 def domain_overlap(df: DataFrame, domain: str, require_unseen: bool = False) -> DataFrame:

@@ -23,13 +23,21 @@ def settings_hash(spark: SparkSession, settings: Mapping[str, object]) -> str:
 
 
 def contract_check(stored: DataFrame, current: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """Fields in which a stored run and the current data disagree (NULL equals NULL)."""
-    s = stored.select(key, *[F.col(f).alias(f"_s_{f}") for f in fields])
-    c = current.select(key, *[F.col(f).alias(f"_c_{f}") for f in fields])
-    failing = F.array_compact(
+    """Fields in which a stored run and the current data disagree (NULL equals NULL).
+
+    A run without current data fails with ``missing_data``, data without a run with
+    ``missing_run``.
+    """
+    s = stored.select(key, F.lit(True).alias("_s"), *[F.col(f).alias(f"_s_{f}") for f in fields])
+    c = current.select(key, F.lit(True).alias("_c"), *[F.col(f).alias(f"_c_{f}") for f in fields])
+    differing = F.array_compact(
         F.array(*[F.when(~F.col(f"_s_{f}").eqNullSafe(F.col(f"_c_{f}")), f) for f in fields])
     )
-    return s.join(c, key).select(
+    failing = (
+        F.when(F.col("_c").isNull(), F.array(F.lit("missing_data")))
+        .when(F.col("_s").isNull(), F.array(F.lit("missing_run"))).otherwise(differing)
+    )
+    return s.join(c, key, "full").select(
         key, F.array_join(failing, ",").alias("failing_fields"), (F.size(failing) == 0).alias("compatible")
     )
 
@@ -58,12 +66,18 @@ def content_hash_join(inputs: DataFrame, payload: str, store: DataFrame) -> Data
     return inputs.withColumn("key_hash", F.sha2(payload, 256)).join(store, "key_hash", "left")
 
 
-def cache_index(inputs: DataFrame, payload: str, store: DataFrame, sample_id: str = "sample_id") -> DataFrame:
-    """One index row per input sample; an input without a stored vector fails the job."""
-    joined = content_hash_join(
-        inputs.select(sample_id, payload), payload,
-        store.select("key_hash", F.size("embedding").alias("embedding_dimension")),
+def cache_index(
+    inputs: DataFrame, payload: str, store: DataFrame, sample_id: str = "sample_id", dim: int | None = None,
+) -> DataFrame:
+    """One index row per input sample; an input without a valid stored vector fails the job.
+
+    An invalid vector that a later run replaced stays in the store but is never read: only
+    finite vectors count, of the wanted dimension where one is given, one per content.
+    """
+    valid = store.where(is_finite_vector(F.col("embedding"), dim)).groupBy("key_hash").agg(
+        F.max(F.size("embedding")).alias("embedding_dimension")
     )
+    joined = content_hash_join(inputs.select(sample_id, payload), payload, valid)
     missing = F.raise_error(F.concat(F.lit("no stored vector for "), F.col(sample_id).cast("string")))
     return joined.select(
         sample_id, "key_hash",

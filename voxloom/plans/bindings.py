@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voxloom.functions.hashing import hash_key, hash_ranked, hash_uniform
+from voxloom.functions.text import zero_padded
 from voxloom.operators.splits import split_by_rank
 from voxloom.schemas import ANNOTATION_LABELS, SPLIT_RATIOS
 
@@ -37,9 +38,9 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     null = F.lit(None).cast("string")
     return joined.select(
         "doc_id",
-        F.concat(F.lit("doc-"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("sample_id"),
+        F.concat(F.lit("doc-"), zero_padded(F.col("doc_id"), 8)).alias("sample_id"),
         F.when(
-            audio, F.concat(F.lit("audio/"), F.substring(F.sha2("text", 256), 1, 16), F.lit(".wav"))
+            audio, F.concat(F.lit("audio/"), F.sha2("text", 256), F.lit(".wav"))
         ).alias("audio_path"),
         F.when(
             visual, F.concat(F.lit("video/"), F.col("doc_id").cast("string"), F.lit(".mp4"))

@@ -19,8 +19,8 @@ MIN_MEDIA_BYTES = 256
 DURATION_TOLERANCE = 0.1
 
 
-def _below(path: Column, folder: str) -> Column:
-    return F.regexp_replace(path, f"^.*/{folder}/", "")
+def _below(spark: SparkSession, path: Column, folder: str) -> Column:
+    return tables.relative_path(path, tables.root_path(spark, folder))
 
 
 def _manifest(df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
@@ -57,13 +57,13 @@ def filename_corpus(
     )
     stem = lambda c: F.upper(F.regexp_extract(c, r"([^/]+)\.[^./]+$", 1))
     clips = media.wav_header(media.read_media(spark, f"{root}/{audio}", "*.wav")).select(
-        stem(F.col("path")).alias("key"), _below(F.col("path"), audio).alias("audio_file"),
+        stem(F.col("path")).alias("key"), _below(spark, F.col("path"), f"{root}/{audio}").alias("audio_file"),
         F.col("duration").alias("wav_duration"),
         ((F.col("length") > MIN_MEDIA_BYTES) & F.coalesce(F.col("duration") > 0, F.lit(False))).alias("has_audio"),
     )
     # The content column is not selected, so only the listing is read.
     videos = media.read_media(spark, f"{root}/{video}").select(
-        stem(F.col("path")).alias("key"), _below(F.col("path"), video).alias("video_file"),
+        stem(F.col("path")).alias("key"), _below(spark, F.col("path"), f"{root}/{video}").alias("video_file"),
         (F.col("length") > MIN_MEDIA_BYTES).alias("has_video"),
     )
     kept = labels.map_labels(parsed, "emotion", FILENAME_LABELS, "label")
@@ -97,11 +97,12 @@ def filename_corpus(
 def annotation_corpus(
     spark: SparkSession, root: str, corpus: str, language: str, seed: int = 17,
     ratios: Sequence[float] = SPLIT_RATIOS, pilot_per_class: int = 16, annotations: str = "json", audio: str = "wav",
+    split_method: str = "exact",
 ) -> dict[str, DataFrame]:
     """Corpus of one JSON annotation per WAV file; speakers who meet stay in one split."""
     docs = tables.read_annotations(spark, f"{root}/{annotations}")
     clips = media.wav_header(media.read_media(spark, f"{root}/{audio}", "*.wav")).select(
-        _below(F.col("path"), audio).alias("expected"), F.col("length").alias("bytes"),
+        _below(spark, F.col("path"), f"{root}/{audio}").alias("expected"), F.col("length").alias("bytes"),
         F.col("duration").alias("measured"),
     )
     located = docs.withColumn("expected", F.regexp_replace("relative_path", r"\.json$", ".wav")).select(
@@ -123,7 +124,7 @@ def annotation_corpus(
     components = graph.connected_components(good, edges, "speaker_id")
     members = good.select("speaker_id", "raw").join(components, "speaker_id")
     stats = splits.component_table(members, "component", "speaker_id", "raw", list(ANNOTATION_LABELS))
-    placed = splits.component_split(stats, "component", len(ANNOTATION_LABELS), ratios)
+    placed = splits.component_split(stats, "component", len(ANNOTATION_LABELS), ratios, split_method)
     speakers = components.join(placed, "component").select("speaker_id", "component", "split")
     rows = labels.map_labels(good, "raw", ANNOTATION_LABELS, "label").join(speakers, "speaker_id")
     stem = F.regexp_extract("relative_path", r"([^/]+)\.json$", 1)

@@ -418,12 +418,11 @@ def safe_id(spark, d):
     "limitations",
     f"""WITH {M}, f AS (SELECT count(DISTINCT language) AS nl, min(language) AS l, count(DISTINCT corpus) AS nc, min(corpus) AS c,
       count(DISTINCT sha256(transcript)) FILTER (WHERE transcript <> '') AS n FROM m)
-    SELECT limitation FROM (
-      SELECT CASE WHEN nl = 1 THEN 'single language (' || l || ')' END AS limitation FROM f
-      UNION ALL SELECT CASE WHEN nc = 1 THEN 'single corpus (' || c || ')' END FROM f
-      UNION ALL SELECT 'pilot subset' UNION ALL SELECT 'single seed unless repeated explicitly'
-      UNION ALL SELECT CASE WHEN n <= 20 THEN 'only ' || n::VARCHAR || ' unique transcript strings' END FROM f
-      UNION ALL SELECT 'not a paper-ready comparison') WHERE limitation IS NOT NULL""",
+    SELECT 'one_language' AS limitation, l AS value FROM f WHERE nl = 1
+      UNION ALL SELECT 'one_corpus', c FROM f WHERE nc = 1
+      UNION ALL SELECT 'pilot', NULL UNION ALL SELECT 'one_seed', NULL
+      UNION ALL SELECT 'few_transcripts', n::VARCHAR FROM f WHERE n <= 20
+      UNION ALL SELECT 'not_paper_ready', NULL""",
 )
 def limitations(spark, d):
     return stats.limitations(manifest(spark, d).select("language", "corpus", "transcript"), pilot=True)
@@ -648,9 +647,11 @@ def contract_hash(spark, d):
 
 @query(
     "contract_check",
-    """SELECT s_suppkey, concat_ws(',', CASE WHEN s_suppkey % 5 = 0 THEN 's_nationkey' END,
-        CASE WHEN s_suppkey % 7 = 0 THEN 's_name' END, CASE WHEN s_suppkey % 11 = 0 THEN 's_acctbal' END) AS failing_fields,
-      NOT (s_suppkey % 5 = 0 OR s_suppkey % 7 = 0 OR s_suppkey % 11 = 0) AS compatible FROM supplier""",
+    """SELECT s_suppkey, CASE WHEN s_suppkey % 13 = 0 THEN 'missing_data' WHEN s_suppkey % 17 = 0 THEN 'missing_run'
+        ELSE concat_ws(',', CASE WHEN s_suppkey % 5 = 0 THEN 's_nationkey' END,
+        CASE WHEN s_suppkey % 7 = 0 THEN 's_name' END, CASE WHEN s_suppkey % 11 = 0 THEN 's_acctbal' END) END AS failing_fields,
+      NOT (s_suppkey % 13 = 0 OR s_suppkey % 17 = 0 OR s_suppkey % 5 = 0 OR s_suppkey % 7 = 0 OR s_suppkey % 11 = 0) AS compatible
+    FROM supplier WHERE NOT (s_suppkey % 13 = 0 AND s_suppkey % 17 = 0)""",
 )
 def contract_check(spark, d):
     stored = table(spark, d, "supplier")
@@ -660,6 +661,8 @@ def contract_check(spark, d):
         F.when(k % 7 != 0, F.col("s_name")).alias("s_name"),
         F.when(k % 11 == 0, F.col("s_acctbal") + 1.0).otherwise(F.col("s_acctbal")).alias("s_acctbal"),
     )
+    stored, current = stored.where((k % 17 != 0) | (k % 13 == 0)), current.where(k % 13 != 0)
+    stored = stored.where((k % 13 != 0) | (k % 17 != 0))
     return store.contract_check(stored, current, "s_suppkey", ["s_nationkey", "s_name", "s_acctbal"])
 
 

@@ -49,13 +49,13 @@ _WAV_SQL = """w AS (SELECT vec_id, 'audio/' || vec_id::VARCHAR || '.wav' AS path
 
 @query(
     "wav_profile",
-    f"""WITH {_WAV_SQL} SELECT path, CASE WHEN k = 0 THEN 0 ELSE 44 + 2 * n END::BIGINT AS length, k > 1 AS canonical,
+    f"""WITH {_WAV_SQL} SELECT path, CASE WHEN k = 0 THEN 0 ELSE 44 + 2 * n END::BIGINT AS length, k > 1 AS decodable,
       CASE WHEN k > 1 THEN ch END::BIGINT AS channels, CASE WHEN k > 1 THEN rate END::BIGINT AS sample_rate, CASE WHEN k > 1 THEN 2 END::BIGINT AS sample_width,
       CASE WHEN k > 1 THEN n // ch END::BIGINT AS frames, CASE WHEN k > 1 THEN {r6('(n // ch)::DOUBLE / rate')} END AS duration FROM w""",
 )
 def wav_profile(spark, d):
     return media.wav_header(wav_files(spark, d)).select(
-        "path", "length", "canonical", "channels", "sample_rate", "sample_width", "frames", R("duration", 6).alias("duration")
+        "path", "length", "decodable", "channels", "sample_rate", "sample_width", "frames", R("duration", 6).alias("duration")
     )
 
 

@@ -1,16 +1,21 @@
 """Building blocks of the comparison SQL (DuckDB dialect)."""
 
 
-def hex32(expr: str) -> str:
-    return f"('0x' || substr(sha256({expr}), 1, 8))::UBIGINT"
+def hex_digits(expr: str, digits: int) -> str:
+    return f"('0x' || substr(sha256({expr}), 1, {digits}))::UBIGINT"
+
+
+def padded(expr: str, width: int) -> str:
+    """At least ``width`` digits; a longer number is never cut."""
+    return f"lpad({expr}::VARCHAR, greatest({width}, length({expr}::VARCHAR))::INT, '0')"
 
 
 def hash_int(expr: str) -> str:
-    return f"({hex32(expr)})::BIGINT"
+    return f"({hex_digits(expr, 15)})::BIGINT"
 
 
 def uniform(expr: str) -> str:
-    return f"(({hex32(expr)})::DOUBLE / 4294967296.0::DOUBLE)"
+    return f"(({hex_digits(expr, 13)})::DOUBLE / 4503599627370496.0::DOUBLE)"
 
 
 def row_split(key: str) -> str:
@@ -46,8 +51,8 @@ def split_by_rank(rank: str, n: str) -> str:
 RAW = f"""
 raw AS (
   SELECT d.doc_id,
-    'doc-' || lpad(d.doc_id::VARCHAR, 8, '0') AS sample_id,
-    CASE WHEN e.vec_id IS NOT NULL THEN 'audio/' || substr(sha256(d.text), 1, 16) || '.wav' END AS audio_path,
+    'doc-' || {padded('d.doc_id', 8)} AS sample_id,
+    CASE WHEN e.vec_id IS NOT NULL THEN 'audio/' || sha256(d.text) || '.wav' END AS audio_path,
     CASE WHEN l.doc_id IS NOT NULL THEN 'video/' || d.doc_id::VARCHAR || '.mp4' END AS video_path,
     d.text AS transcript,
     ['angry','happy','neutral','sad','fearful','disgusted','surprised'][(d.doc_id % 7 + 1)] AS source_emotion,

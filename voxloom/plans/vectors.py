@@ -3,11 +3,12 @@
 from pyspark.sql import functions as F
 
 from voxloom.functions import vectors as V
+from voxloom.functions.text import zero_padded
 from voxloom.operators import assemble, metrics, pooling, prototypes, records, store
 from voxloom.plans.bindings import manifest, table, vector_examples
 from voxloom.plans.corpus import QUALITY_SQL, with_quality
 from voxloom.plans.registry import query
-from voxloom.plans.sql import EXAMPLES, LONG, M, PREDICTIONS, r6, row_split, uniform
+from voxloom.plans.sql import EXAMPLES, LONG, M, PREDICTIONS, padded, r6, row_split, uniform
 from voxloom.schemas import EMOTION_LABELS, MODALITIES
 from voxloom.scratch import new_folder
 from voxloom.sources import tables
@@ -64,7 +65,7 @@ def cache_index(spark, d):
     path = new_folder(spark, "store")
     store.materialize_embeddings(docs, "text", path, "c1", 32)
     stored = tables.read_embeddings(spark, path, "text", "c1")
-    return store.cache_index(docs, "text", stored, "doc_id")
+    return store.cache_index(docs, "text", stored, "doc_id", 32)
 
 
 @query(
@@ -114,7 +115,7 @@ def incremental_cache(spark, d):
 
 @query(
     "index_alignment",
-    f"""WITH {M}, i AS (SELECT 'doc-' || lpad(vec_id::VARCHAR, 8, '0') AS sample_id FROM embeddings),
+    f"""WITH {M}, i AS (SELECT 'doc-' || {padded('vec_id', 8)} AS sample_id FROM embeddings),
     a AS (SELECT sample_id FROM m WHERE text_available),
     d AS (SELECT 'missing' AS side, sample_id FROM a WHERE sample_id NOT IN (SELECT sample_id FROM i)
       UNION ALL SELECT 'extra', sample_id FROM i WHERE sample_id NOT IN (SELECT sample_id FROM a)),
@@ -123,7 +124,7 @@ def incremental_cache(spark, d):
 )
 def index_alignment(spark, d):
     index = table(spark, d, "embeddings").select(
-        F.concat(F.lit("doc-"), F.lpad(F.col("vec_id").cast("string"), 8, "0")).alias("sample_id")
+        F.concat(F.lit("doc-"), zero_padded(F.col("vec_id"), 8)).alias("sample_id")
     )
     return assemble.index_alignment(manifest(spark, d), index, "text_available")
 
@@ -132,7 +133,7 @@ _PATTERN = """CASE WHEN audio_available THEN 'A' ELSE '' END || CASE WHEN text_a
 
 
 def _sources(spark, d):
-    sid = lambda c: F.concat(F.lit("doc-"), F.lpad(F.col(c).cast("string"), 8, "0")).alias("sample_id")
+    sid = lambda c: F.concat(F.lit("doc-"), zero_padded(F.col(c), 8)).alias("sample_id")
     audio = table(spark, d, "embeddings").select(
         sid("vec_id"), F.col("embedding").alias("vector"), ((F.col("vec_id") % 10).cast("double") / 8.0).alias("clipping_fraction")
     )
@@ -224,10 +225,10 @@ def _synthetic_sql():
             f"{r6(f'CASE WHEN mask[{n + 1}] = 1 THEN {value} ELSE 0 END')} AS value, "
             f"{r6(f'CASE WHEN mask[{n + 1}] = 1 THEN {q} ELSE 0 END')} AS quality FROM b, range({dim}) t(p)"
         )
-    return """WITH b AS (SELECT doc_id AS i, 'synthetic-17-' || lpad(doc_id::VARCHAR, 10, '0') AS sample_id, (doc_id % 4)::INT AS label,
+    return "WITH b AS (SELECT doc_id AS i, 'synthetic-17-' || " + padded("doc_id", 10) + """ AS sample_id, (doc_id % 4)::INT AS label,
         ['en','zh','unknown'][doc_id % 3 + 1] AS language, ['synthetic_a','synthetic_b','unknown'][(doc_id // 3) % 3 + 1] AS corpus,
         [[1,1,1],[1,1,0],[1,0,1],[0,1,1],[1,0,0],[0,1,0],[0,0,1]][doc_id % 7 + 1] AS mask,
-        'synthetic-speaker-' || lpad((doc_id // 4)::VARCHAR, 10, '0') AS speaker_id FROM documents) """ + " UNION ALL ".join(arms)
+        'synthetic-speaker-' || """ + padded("(doc_id // 4)", 10) + """ AS speaker_id FROM documents) """ + " UNION ALL ".join(arms)
 
 
 @query("synthetic_examples", _synthetic_sql())
@@ -357,14 +358,17 @@ def masked_concat(spark, d):
       t AS (SELECT vec_id, unnest([1, 2, 3]) AS b, unnest(s) AS sc, unnest(mask) AS mk FROM s),
       e AS (SELECT *, CASE WHEN mk = 1 THEN exp(sc - max(CASE WHEN mk = 1 THEN sc END) OVER (PARTITION BY vec_id)) ELSE 0 END AS e FROM t),
       w AS (SELECT vec_id, b, e / sum(e) OVER (PARTITION BY vec_id) AS w FROM e)
-    SELECT vec_id, (pos % 16)::INT AS pos, {r6('sum(w.w * x)')} AS value FROM vec JOIN w USING (vec_id)
-    WHERE (w.b = 1 AND pos < 16) OR (w.b = 2 AND pos BETWEEN 16 AND 31) OR (w.b = 3 AND pos BETWEEN 32 AND 47) GROUP BY 1, 2""",
+    SELECT vec_id, (pos - CASE w.b WHEN 1 THEN 0 WHEN 2 THEN 22 ELSE 43 END)::INT AS pos, {r6('sum(w.w * x)')} AS value
+    FROM vec JOIN w USING (vec_id)
+    WHERE (w.b = 1 AND pos < 22) OR (w.b = 2 AND pos BETWEEN 22 AND 42) OR (w.b = 3 AND pos BETWEEN 43 AND 63) GROUP BY 1, 2""",
 )
 def weighted_fusion(spark, d):
     k = F.col("vec_id")
     scores = F.array(F.lit(1.0), (k % 5).cast("double") / 4, (k % 3).cast("double") / 2)
     b = masked_blocks(_embeddings(spark, d), "vec_id").withColumn("w", pooling.masked_softmax(scores, F.col("modality_mask")))
-    fused = pooling.weighted_fusion([F.slice("v", s, 16) for s in (1, 17, 33)], F.col("w"))
+    # blocks of 22, 21 and 21 values, the short ones padded to the common width
+    parts = [F.slice("v", 1, 22), *[F.concat(F.slice("v", s, 21), F.array(F.lit(0.0))) for s in (23, 44)]]
+    fused = pooling.weighted_fusion(parts, F.col("w"))
     return _long(b.select("vec_id", fused.alias("f")), ["vec_id"], "f")
 
 

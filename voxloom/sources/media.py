@@ -1,8 +1,6 @@
 """Media payloads in the layout of Spark's ``binaryFile`` source (path, length, content)."""
 
-import io
-import math
-import wave
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,36 +44,59 @@ def inventory(media: DataFrame, minimum: int = 256) -> DataFrame:
     )
 
 
-def little_endian(content: Column, start: int, size: int) -> Column:
-    """Unsigned little-endian integer at a 1-based byte position."""
-    parts = [F.hex(F.substring(content, start + i, 1)) for i in reversed(range(size))]
-    return F.conv(F.concat(*parts), 16, 10).cast("bigint")
+HEADER = (
+    "path string, length long, decodable boolean, channels int, sample_rate int, sample_width int, "
+    "frames long, duration double"
+)
+PCM, EXTENSIBLE = 1, 0xFFFE
 
 
-def wav_header(media: DataFrame) -> DataFrame:
-    """Rate, channels, width, frames and duration of canonical 44-byte WAV headers.
+def wav_facts(head: bytes, length: int) -> dict:
+    """Format and frames of a WAV file from its first bytes, chunk by chunk.
 
-    Native expressions only; ``canonical`` is false for other chunk layouts, which
-    :func:`audio_profile` decodes.
+    Extensible files carry their real format in the first two bytes of the sub-format.
     """
-    c = F.col("content")
-    ascii_at = lambda start, size: F.substring(c, start, size).cast("string")
-    canonical = (
-        (F.length(c) >= 44) & (ascii_at(1, 4) == "RIFF") & (ascii_at(9, 4) == "WAVE")
-        & (ascii_at(13, 4) == "fmt ") & (ascii_at(37, 4) == "data")
-    )
-    fields = media.select(
-        "path", "length", canonical.alias("canonical"),
-        F.when(canonical, little_endian(c, 23, 2)).alias("channels"),
-        F.when(canonical, little_endian(c, 25, 4)).alias("sample_rate"),
-        F.when(canonical, F.floor(little_endian(c, 35, 2) / 8)).alias("sample_width"),
-        F.when(canonical, F.least(little_endian(c, 41, 4), F.length(c).cast("bigint") - 44)).alias("_bytes"),
-    )
-    frame = F.col("channels") * F.col("sample_width")
-    frames = F.when(frame > 0, F.floor(F.col("_bytes") / frame))
-    return fields.withColumn("frames", frames).withColumn(
-        "duration", F.when(F.col("sample_rate") > 0, F.col("frames").cast("double") / F.col("sample_rate"))
-    ).drop("_bytes")
+    if head[:4] != b"RIFF" or head[8:12] != b"WAVE":
+        return {"decodable": False}
+    at, facts = 12, None
+    while at + 8 <= len(head):
+        name, size = head[at : at + 4], int.from_bytes(head[at + 4 : at + 8], "little")
+        body = head[at + 8 : at + 8 + size]
+        if name == b"fmt " and len(body) >= 16:
+            tag, channels, rate, _, _, bits = struct.unpack("<HHIIHH", body[:16])
+            if tag == EXTENSIBLE and len(body) >= 26:
+                tag = int.from_bytes(body[24:26], "little")
+            facts = (tag, channels, rate, -(-bits // 8))
+        elif name == b"data":
+            if facts is None:
+                break
+            tag, channels, rate, width = facts
+            frames = min(size, max(0, length - at - 8)) // (channels * width) if channels * width else 0
+            return {
+                "decodable": tag == PCM and channels * width * rate > 0, "channels": channels, "sample_rate": rate,
+                "sample_width": width, "frames": frames, "duration": frames / rate if rate else None, "start": at + 8,
+            }
+        at += 8 + size + size % 2
+    return {"decodable": False}
+
+
+def wav_header(media: DataFrame) -> DataFrame:
+    """Channels, rate, width, frames and duration per WAV file; ``decodable`` is false for
+    anything but uncompressed PCM with a format chunk before its data."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in HEADER.split(", ")]
+        for batch in batches:
+            rows = [
+                {"path": p, "length": n, **wav_facts(bytes(c if c is not None else b""), n)}
+                for p, n, c in zip(batch["path"], batch["length"], batch["content"])
+            ]
+            frame = pd.DataFrame(rows, columns=names)
+            for c in ("channels", "sample_rate", "sample_width", "frames"):
+                frame[c] = frame[c].astype("Int64")
+            yield frame
+
+    return media.select("path", "length", "content").mapInPandas(run, HEADER)
 
 
 def media_problem(media: DataFrame, kind: str) -> DataFrame:
@@ -87,7 +108,7 @@ def media_problem(media: DataFrame, kind: str) -> DataFrame:
     head = lambda start, size: F.hex(F.substring(c, start, size))
     if kind == "audio":
         checked = wav_header(media)
-        bad = ~F.col("canonical") | ~F.coalesce((F.col("frames") > 0) & (F.col("sample_rate") > 0), F.lit(False))
+        bad = ~F.col("decodable") | ~F.coalesce((F.col("frames") > 0) & (F.col("sample_rate") > 0), F.lit(False))
         problem = F.when(F.col("length") == 0, "empty").when(path.endswith(".wav") & bad, "corrupt")
         return checked.select("path", "length", problem.alias("problem"))
     if kind != "video":
@@ -140,25 +161,36 @@ PROFILE = (
 )
 
 
-def _decode(payload: bytes, rate: int) -> dict:
-    with wave.open(io.BytesIO(payload), "rb") as stream:
-        channels, width, source_rate = stream.getnchannels(), stream.getsampwidth(), stream.getframerate()
-        data, plain = stream.readframes(stream.getnframes()), stream.getcomptype() == "NONE"
-    if width != 2 or not plain:
+def pcm16(payload: bytes) -> tuple[np.ndarray, int]:
+    """Samples (frames x channels, -1 to 1) and rate of a 16-bit PCM file."""
+    facts = wav_facts(payload, len(payload))
+    if not facts["decodable"] or facts["sample_width"] != 2:
         raise ValueError("not uncompressed PCM16")
-    samples = np.frombuffer(data, dtype="<i2").astype(np.float32) / 32768.0
-    if samples.size == 0 or samples.size % channels:
-        raise ValueError("no samples or a broken frame")
-    signal = samples.reshape(-1, channels).mean(axis=1, dtype=np.float32)
-    if source_rate != rate:
-        target = max(1, int(round(signal.size * rate / source_rate)))
-        at = np.linspace(0.0, signal.size - 1, target)
-        signal = np.interp(at, np.arange(signal.size, dtype=np.float64), signal).astype(np.float32)
-    level = np.abs(signal)
+    channels, frames = facts["channels"], facts["frames"]
+    if not frames:
+        raise ValueError("no samples")
+    values = np.frombuffer(payload, "<i2", frames * channels, facts["start"])
+    return values.reshape(frames, channels) / np.float32(32768), facts["sample_rate"]
+
+
+def resampled(signal: np.ndarray, rate: int, wanted: int) -> np.ndarray:
+    """Linear resampling: each target place mixes its two neighbours by its distance."""
+    if rate == wanted:
+        return signal
+    count = max(1, round(len(signal) * wanted / rate))
+    place = np.arange(count) * ((len(signal) - 1) / max(count - 1, 1))
+    left = place.astype(np.int64)
+    right, weight = np.minimum(left + 1, len(signal) - 1), place - left
+    return (signal[left] * (1 - weight) + signal[right] * weight).astype(np.float32)
+
+
+def clip_statistics(payload: bytes, wanted: int) -> dict:
+    samples, rate = pcm16(payload)
+    level = np.abs(resampled(samples.mean(axis=1, dtype=np.float32), rate, wanted))
     return {
-        "source_sample_rate": source_rate, "source_channels": channels, "samples": signal.size,
-        "duration": signal.size / rate, "rms": math.sqrt(float(np.mean(np.square(signal, dtype=np.float64)))),
-        "peak": float(level.max()), "clipping_fraction": float(np.mean(level >= 32767.0 / 32768.0)),
+        "source_sample_rate": rate, "source_channels": samples.shape[1], "samples": len(level),
+        "duration": len(level) / wanted, "rms": float(np.sqrt(np.square(level, dtype=np.float64).mean())),
+        "peak": float(level.max()), "clipping_fraction": float((level >= 32767 / 32768).mean()),
     }
 
 
@@ -171,8 +203,8 @@ def audio_profile(media: DataFrame, rate: int = 16_000) -> DataFrame:
             rows = []
             for path, content in zip(batch["path"], batch["content"]):
                 try:
-                    rows.append({"path": path, **_decode(bytes(content), rate), "error": None})
-                except (wave.Error, EOFError, ValueError) as exc:
+                    rows.append({"path": path, **clip_statistics(bytes(content), rate), "error": None})
+                except ValueError as exc:
                     rows.append({"path": path, "error": str(exc) or type(exc).__name__})
             frame = pd.DataFrame(rows, columns=columns)
             for c in ("source_sample_rate", "source_channels", "samples"):

@@ -1,6 +1,6 @@
 """Dimension files, key lists, annotation trees, index files and embedding tables."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from voxloom.schemas import ANNOTATION, EMBEDDING_INDEX
 
@@ -39,8 +39,22 @@ def read_annotations(
         spark.read.schema(schema).option("recursiveFileLookup", True)
         .option("multiLine", one_document_per_file).option("pathGlobFilter", "*.json").json(root)
     )
-    prefix = "^.*" + root.rstrip("/").rsplit("/", 1)[-1] + "/"
-    return docs.select("*", F.regexp_replace(F.col("_metadata.file_path"), prefix, "").alias("relative_path"))
+    return docs.select("*", relative_path(F.url_decode(F.replace(
+        F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")
+    )), root_path(spark, root)).alias("relative_path"))
+
+
+def root_path(spark: SparkSession, root: str) -> str:
+    """The root's absolute path without scheme and authority."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path)
+    return full.toUri().getPath().rstrip("/")
+
+
+def relative_path(path: Column, root: str) -> Column:
+    """``path`` below ``root``: the root's own length is cut off, whatever it contains."""
+    local = F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    return F.substring(local, F.lit(len(root) + 2), F.length(local))
 
 
 CONTRACT = (
