@@ -23,7 +23,7 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     column statistics.
     """
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -139,38 +139,50 @@ def _kept_digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
+def _home_stretches(words: list[bytes], shared) -> list[tuple[int, int, int]]:
+    """Home, first and last word (exclusive) of the runs of windows with one home."""
+    seeds = window_seeds(words)
+    known = shared.values.field("seed").to_numpy()
+    order = np.argsort(known, kind="stable")
+    at = order[np.searchsorted(known, seeds, sorter=order).clip(max=len(known) - 1)]
+    hit = known[at] == seeds
+    home = np.where(hit, shared.values.field("home").to_numpy()[at], -1)
+    cuts = np.flatnonzero((home[1:] != home[:-1]) | (hit[1:] != hit[:-1])) + 1
+    bounds = zip([0, *cuts.tolist()], [*cuts.tolist(), len(home)])
+    return [(int(home[a]), a, b - 1 + LENGTH) for a, b in bounds if b > a and hit[a]]
+
+
+STRETCH = "array<struct<home: long, start: int, stop: int>>"
+
+
 def _open_documents(arrow):
-    """Answers documents without shared seeds; the others keep their text and seeds."""
+    """Answers documents without shared seeds; the others keep their text and stretches."""
+    kind = pa.list_(pa.struct([("home", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())]))
     for batch, texts in text_batches(arrow):
-        shared = batch.column("shared")
-        empty = shared.is_null().to_pylist()
-        split = [words_of(t) for t in texts]
-        digests = [_kept_digest(w) if e else None for w, e in zip(split, empty)]
-        left = [None if e else t for t, e in zip(texts, empty)]
+        stretches, digests, bodies, counts = [], [], [], []
+        for text, shared in zip(texts, batch.column("shared")):
+            words = words_of(text)
+            found = _home_stretches(words, shared) if shared.is_valid else []
+            counts.append(len(words))
+            stretches.append([dict(zip(("home", "start", "stop"), f)) for f in found] if found else None)
+            digests.append(None if found else _kept_digest(words))
+            bodies.append(text if found else None)
         yield result(
-            batch, ["doc_id", "text_key", "shared"], n_words=pa.array(map(len, split), pa.int64()),
-            digest=pa.array(digests, pa.string()), body=pa.array(left, pa.binary()),
+            batch, ["doc_id", "text_key"], stretches=pa.array(stretches, kind), n_words=pa.array(counts, pa.int64()),
+            digest=pa.array(digests, pa.string()), body=pa.array(bodies, pa.binary()),
         )
 
 
 def _stretches(arrow):
-    """Stretches of windows of one home, of the home itself (own) or sent to it."""
+    """Stretches of windows of one home, of the home itself or sent to it."""
     for batch, texts in text_batches(arrow):
         rows: list[tuple] = []
-        for doc, key, text, shared in zip(
-            batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), texts, batch.column("shared")
-        ):
+        columns = (batch.column(c).to_pylist() for c in ("doc_id", "text_key", "stretches"))
+        for text, doc, key, found in zip(texts, *columns):
             words = words_of(text)
-            seeds = window_seeds(words)
-            known = shared.values.field("seed").to_numpy()
-            order = np.argsort(known, kind="stable")
-            at = order[np.searchsorted(known, seeds, sorter=order).clip(max=len(known) - 1)]
-            hit = known[at] == seeds
-            home = np.where(hit, shared.values.field("home").to_numpy()[at], -1)
-            cuts = np.flatnonzero((home[1:] != home[:-1]) | (hit[1:] != hit[:-1])) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(home)]):
-                if b > a and hit[a]:
-                    rows.append((int(home[a]), int(home[a]) != doc, doc, key, a, b" ".join(words[a : b - 1 + LENGTH])))
+            for f in found:
+                part = b" ".join(words[f["start"] : f["stop"]])
+                rows.append((f["home"], f["home"] != doc, doc, key, f["start"], part))
         columns = list(zip(*rows)) or [()] * 6
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         names = ["home", "sent", "doc_id", "text_key", "start", "text"]
@@ -216,7 +228,7 @@ def _stream(arrow):
 def repeated_spans(opened: DataFrame) -> DataFrame:
     """doc_id, text_key, start, stop (words) of everything that goes."""
     stretches = kept(
-        opened.select("doc_id", "text_key", F.col("body").alias("text"), "shared").mapInArrow(
+        opened.select("doc_id", "text_key", F.col("body").alias("text"), "stretches").mapInArrow(
             _stretches, "home long, sent boolean, doc_id long, text_key long, start long, text binary"
         ),
         "stretches",
@@ -268,14 +280,13 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), raw("text").alias("text"))
     opened = kept(
         rows.join(shared_seeds(docs), "doc_id", "left").mapInArrow(
-            _open_documents, "doc_id long, text_key long, shared array<struct<seed: long, home: long>>, "
-            "n_words long, digest string, body binary"
+            _open_documents, f"doc_id long, text_key long, stretches {STRETCH}, n_words long, digest string, body binary"
         ),
         "opened",
     )
     spans = repeated_spans(opened.where(F.col("body").isNotNull())).groupBy("doc_id", "text_key").agg(
         F.collect_set(F.struct("start", "stop")).alias("spans")
     )
-    return opened.drop("shared").join(spans, ["doc_id", "text_key"], "left").mapInArrow(
+    return opened.drop("stretches").join(spans, ["doc_id", "text_key"], "left").mapInArrow(
         _without_spans, "doc_id long, n_words long, n_removed long, kept_sha256 string"
     )
