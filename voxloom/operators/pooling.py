@@ -4,7 +4,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from voxloom.functions.vectors import as_double, let, zeros
 
@@ -137,16 +137,28 @@ def uniform_indices(count: Column, wanted: int) -> Column:
 
 
 def pad_sequences(df: DataFrame, sequence: str, batch: Sequence[str] = ()) -> DataFrame:
-    """Pad ragged sequences with zeros to the longest of the table (or of their batch)."""
+    """Pad ragged sequences with zeros to the longest of the table (or of their batch).
+
+    Steps are numbers or vectors; a padded vector step has the width of the table's first
+    steps, and a step of another width fails the job.
+    """
+    nested = isinstance(df.schema[sequence].dataType.elementType, T.ArrayType)
     if batch:
         longest = df.groupBy(*batch).agg(F.max(F.size(sequence)).alias("_max"))
         sized = df.join(longest, list(batch))
     else:
         sized = df.withColumn("_max", df.agg(F.max(F.size(sequence)).alias("m")).scalar())
     gap = F.col("_max") - F.size(sequence)
+    if nested:
+        sized = sized.withColumn("_dim", df.agg(F.max(F.size(F.get(sequence, F.lit(0)))).alias("d")).scalar())
+        wrong = F.raise_error("steps of different widths").cast("array<double>")
+        steps = F.transform(sequence, lambda s: F.when(F.size(s) == F.col("_dim"), as_double(s)).otherwise(wrong))
+        fill = F.array_repeat(F.array_repeat(F.lit(0.0), F.col("_dim")), gap)
+    else:
+        steps, fill = as_double(F.col(sequence)), F.array_repeat(F.lit(0.0), gap)
     return sized.select(
         *[c for c in df.columns if c != sequence],
-        F.concat(as_double(F.col(sequence)), F.array_repeat(F.lit(0.0), gap)).alias(sequence),
+        F.concat(steps, fill).alias(sequence),
         F.concat(
             F.array_repeat(F.lit(True), F.size(sequence)), F.array_repeat(F.lit(False), gap)
         ).alias("step_mask"),

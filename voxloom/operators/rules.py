@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from voxloom.functions.text import normalize_text, stays_inside_root
 from voxloom.schemas import ERROR_CODES, SPLITS
+from voxloom.scratch import new_folder
 
 IMBALANCE_RATIO = 3.0
 
@@ -119,8 +120,12 @@ def group_profile(df: DataFrame, kinds: Iterable[str]) -> DataFrame:
 
     Only counts and booleans are aggregated, so a hot key costs one row per task.
     """
+    return _profile(_keyed(df, kinds))
+
+
+def _profile(keyed: DataFrame) -> DataFrame:
     split, folded = F.coalesce("split", F.lit("")), F.lower(F.coalesce("split", F.lit("")))
-    return _keyed(df, kinds).groupBy("kind", "key").agg(
+    return keyed.groupBy("kind", "key").agg(
         F.count(F.lit(1)).alias("n"),
         (F.min(split) != F.max(split)).alias("spans"),
         (F.min(folded) != F.max(folded)).alias("spans_folded"),
@@ -154,12 +159,16 @@ def _group_codes() -> Column:
 def group_issues(df: DataFrame, kinds: Iterable[str] = tuple(_GROUP_KEYS)) -> DataFrame:
     """Duplicate and leakage rules over shared ids, paths, speakers, sources and texts.
 
-    Keys are profiled with partial aggregation, then the flagged keys are joined back to
-    their members; adaptive execution splits a hot key on the member side.
+    The keyed rows, whose texts are normalised and hashed, are written once to shared
+    scratch.  They are profiled with partial aggregation, then the flagged keys are joined
+    back to their members; adaptive execution splits a hot key on the member side.
     """
     kinds = tuple(kinds)
-    flagged = group_profile(df, kinds).select("kind", "key", F.explode(_group_codes()).alias("code"))
-    members = _keyed(df, [k for k in kinds if k != "sample_id"]) if set(kinds) - {"sample_id"} else None
+    folder = new_folder(df.sparkSession, "keyed-rows")
+    _keyed(df, kinds).write.parquet(folder)
+    keyed = df.sparkSession.read.parquet(folder)
+    flagged = _profile(keyed).select("kind", "key", F.explode(_group_codes()).alias("code"))
+    members = keyed.where("kind <> 'sample_id'") if set(kinds) - {"sample_id"} else None
     ids = flagged.where(F.col("kind") == "sample_id").select(
         "code", severity(F.col("code")).alias("severity"), F.col("key").alias("subject"),
         F.col("key").alias("sample_id"),

@@ -481,6 +481,20 @@ def pad_sequences(spark, d):
     return padded.select("vec_id", "pos", R("z.s", 6).alias("value"), F.col("z.step_mask").alias("valid"))
 
 
+@query(
+    "pad_step_vectors",
+    f"""WITH {VEC}, longest AS (SELECT max(vec_id % 4 + 1) AS m FROM embeddings)
+    SELECT vec_id, (pos // 16)::INT AS step, (pos % 16)::INT AS pos, {r6('CASE WHEN pos // 16 <= vec_id % 4 THEN x ELSE 0 END')} AS value,
+      pos // 16 <= vec_id % 4 AS valid FROM vec, longest WHERE pos // 16 < m""",
+)
+def pad_step_vectors(spark, d):
+    frames = F.transform(F.sequence(F.lit(0), (F.col("vec_id") % 4).cast("int")), lambda i: F.slice("v", i * 16 + 1, 16))
+    padded = pooling.pad_sequences(_embeddings(spark, d).select("vec_id", frames.alias("s")), "s")
+    steps = padded.select("vec_id", F.posexplode(F.arrays_zip("s", "step_mask")).alias("step", "z"))
+    long = steps.select("vec_id", "step", F.col("z.step_mask").alias("valid"), F.posexplode("z.s").alias("pos", "x"))
+    return long.select("vec_id", "step", "pos", R("x", 6).alias("value"), "valid")
+
+
 # ---- prototypes ------------------------------------------------------------------------
 
 
