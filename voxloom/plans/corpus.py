@@ -645,6 +645,47 @@ def contract_hash(spark, d):
     return s.select("s_suppkey", store.contract_hash(["s_suppkey", "s_name", "s_nationkey", "stores_frames"]).alias("contract_sha256"))
 
 
+@query(
+    "contract_problems",
+    """SELECT s_suppkey::VARCHAR AS model, concat_ws(',', CASE WHEN s_suppkey % 5 = 0 THEN 'modality' END,
+        CASE WHEN s_suppkey % 7 = 0 THEN 'cache_dtype' END, CASE WHEN s_suppkey % 3 = 0 THEN 'dimension' END,
+        CASE WHEN s_suppkey % 11 = 1 THEN 'manifest' END) AS problems FROM supplier""",
+)
+def contract_problems(spark, d):
+    k = F.col("s_suppkey")
+    path = new_folder(spark, "contracts")
+    table(spark, d, "supplier").select(
+        F.lit(1).alias("schema_version"), F.when(k % 5 == 0, "audio").otherwise("text").alias("modality"),
+        k.cast("string").alias("model_identifier"), F.when(k % 7 == 0, "float16").otherwise("float32").alias("cache_dtype"),
+        F.when(k % 3 == 0, 16).when(k % 3 == 1, 32).alias("embedding_dimension"), F.lit(32).alias("expected_embedding_dimension"),
+        F.when(k % 11 == 1, "other").when(k % 11 > 1, "m").alias("manifest_sha256"),
+    ).write.option("maxRecordsPerFile", 1).json(path)
+    found = tables.contract_problems(tables.read_contracts(spark, path), "text", 32, "m", summary_sha256="m")
+    return found.select(F.col("model_identifier").alias("model"), F.array_join("problems", ",").alias("problems"))
+
+
+@query(
+    "metric_records",
+    f"""WITH e AS (SELECT 'r' || (user_id % 50)::VARCHAR AS protocol, least(value, 100.0::DOUBLE) / 100.0::DOUBLE AS v FROM events),
+    r AS (SELECT protocol, avg(v) AS a, min(v) AS lo, max(v) AS hi FROM e GROUP BY 1)
+    SELECT protocol, NULL::INT AS k, 'uar' AS metric, {r6('a')} AS value FROM r UNION ALL SELECT protocol, NULL, 'macro_f1', {r6('lo')} FROM r
+    UNION ALL SELECT protocol, NULL, 'accuracy', {r6('hi')} FROM r UNION ALL SELECT protocol, 1, 'uar', {r6('lo')} FROM r
+    UNION ALL SELECT protocol, 5, 'uar', {r6('a')} FROM r""",
+)
+def metric_records(spark, d):
+    v = F.least(F.col("value"), F.lit(100.0)) / F.lit(100.0)
+    runs = table(spark, d, "events").groupBy(F.concat(F.lit("r"), (F.col("user_id") % 50).cast("string")).alias("protocol")).agg(
+        F.avg(v).alias("uar"), F.min(v).alias("macro_f1"), F.max(v).alias("accuracy")
+    )
+    shot = lambda c: F.create_map(F.lit("uar"), F.struct(F.col(c).alias("mean"), F.lit(0.0).alias("std")))
+    path = new_folder(spark, "records")
+    runs.withColumn("few_shot", F.create_map(F.lit("1"), shot("macro_f1"), F.lit("5"), shot("uar"))).write.option(
+        "maxRecordsPerFile", 1
+    ).json(path)
+    long = tables.long_metric_records(tables.read_metric_records(spark, path))
+    return long.select("protocol", "k", "metric", R("value", 6).alias("value"))
+
+
 @query(
     "contract_check",
     """SELECT s_suppkey, CASE WHEN s_suppkey % 13 = 0 THEN 'missing_data' WHEN s_suppkey % 17 = 0 THEN 'missing_run'
