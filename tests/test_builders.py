@@ -27,6 +27,7 @@ def test_filename_corpus(spark, tmp_path):
     assert per_split == {"train": 16, "validation": 4, "test": 4}
     assert built["pilot"].count() == 8 * 4
     assert [(r.reason, r.n) for r in built["exclusions"].collect()] == [("source_emotion:DIS", 1)]
+    assert [tuple(r) for r in built["media_problems"].collect()] == [(names[0], "video", "unusable")]
     rules.raise_for_errors(rules.validate(built["manifest"], EMOTION_LABELS))
 
 

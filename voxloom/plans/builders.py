@@ -88,8 +88,14 @@ def filename_corpus(
         },
     )
     picked = chosen.select(F.col("actor").alias("speaker_id"))
+    problem = lambda kind, file, good: F.struct(
+        F.lit(kind).alias("kind"), F.when(F.col(file).isNull(), "missing").when(~good, "unusable").alias("problem")
+    )
+    problems = rows.select(
+        "key", F.explode(F.array(problem("audio", "audio_file", heard), problem("video", "video_file", seen))).alias("_p")
+    ).where("_p.problem is not null").select("key", "_p.*")
     return {
-        "manifest": manifest, "pilot": joins.semi_subset(manifest, picked, "speaker_id"), "speakers": assigned,
+        "manifest": manifest, "media_problems": problems, "pilot": joins.semi_subset(manifest, picked, "speaker_id"), "speakers": assigned,
         "exclusions": labels.label_exclusions(parsed, "emotion", FILENAME_LABELS),
     }
 
