@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxloom.functions.hashing import hash_int, hash_uniform
-from voxloom.functions.text import zero_padded
+from voxloom.functions.text import case_fold, zero_padded
 from voxloom.operators import episodes, metrics, pooling, stats, store
 from voxloom.sources import media, tables
 
@@ -20,6 +20,12 @@ def test_long_ids_are_not_cut(spark):
     ]
 
 
+def test_case_folding_is_full(spark):
+    words = ["Straße", "ΟΔΟΣ", "οδος", "ﬁn ﬂow", "ſo", "ΐ", "ŉ", "plain É"]
+    got = spark.createDataFrame([(w,) for w in words], ["w"]).select(case_fold(F.col("w")).alias("f")).collect()
+    assert [r.f for r in got] == [w.casefold() for w in words]
+
+
 def test_hashes_use_sixty_bits(spark):
     row = spark.range(4096).select(F.max(hash_int("x", F.col("id"))).alias("m"), F.max(hash_uniform("x", F.col("id"))).alias("u")).first()
     assert 1 << 59 < row.m < 1 << 60 and 0.99 < row.u < 1

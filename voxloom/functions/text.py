@@ -3,9 +3,31 @@
 from pyspark.sql import Column, functions as F
 
 
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """What case folding still changes in lower-cased text: to one character, and to more."""
+    one, more = {}, {}
+    for c in map(chr, range(0x20000)):
+        folded = c.casefold()
+        if c.lower() == c != folded:
+            (one if len(folded) == 1 else more)[c] = folded
+    return one, more
+
+
+FOLD_ONE, FOLD_MORE = _folds()
+
+
+def case_fold(text: Column) -> Column:
+    """Full case folding; the rare characters that become several take a path of their own."""
+    single = F.translate(F.lower(text), "".join(FOLD_ONE), "".join(FOLD_ONE.values()))
+    wide = single
+    for c, folded in FOLD_MORE.items():
+        wide = F.replace(wide, F.lit(c), F.lit(folded))
+    return F.when(single.rlike("[" + "".join(FOLD_MORE) + "]"), wide).otherwise(single)
+
+
 def normalize_text(text: Column) -> Column:
     """Case-folded text without non-word characters (accents and CJK are kept)."""
-    folded = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    folded = case_fold(text)
     return F.regexp_replace(folded, r"[^\p{L}\p{N}_]+", "")
 
 

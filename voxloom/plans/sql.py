@@ -1,5 +1,7 @@
 """Building blocks of the comparison SQL (DuckDB dialect)."""
 
+from voxloom.functions.text import FOLD_MORE, FOLD_ONE
+
 
 def hex_digits(expr: str, digits: int) -> str:
     return f"('0x' || substr(sha256({expr}), 1, {digits}))::UBIGINT"
@@ -24,7 +26,10 @@ def row_split(key: str) -> str:
 
 
 def norm_text(expr: str) -> str:
-    return rf"regexp_replace(replace(lower({expr}), 'ß', 'ss'), '[^\p{{L}}\p{{N}}_]+', '', 'g')"
+    folded = f"translate(lower({expr}), '{''.join(FOLD_ONE)}', '{''.join(FOLD_ONE.values())}')"
+    for c, several in FOLD_MORE.items():
+        folded = f"replace({folded}, '{c}', '{several}')"
+    return rf"regexp_replace({folded}, '[^\p{{L}}\p{{N}}_]+', '', 'g')"
 
 
 def r6(expr: str) -> str:
