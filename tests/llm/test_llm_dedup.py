@@ -4,7 +4,7 @@ import hashlib
 
 import pytest
 import xxhash
-from helpers import DOCS, by_id, clashing, docs, rows, words
+from llm_helpers import DOCS, by_id, clashing, docs, rows, words
 from pyspark.sql import functions as F
 
 from voxloom.llm import exact, simhash, substrings

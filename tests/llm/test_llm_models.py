@@ -12,7 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-from helpers import DOCS, by_id, clashing, docs, fold, rows, sentence, words
+from llm_helpers import DOCS, by_id, clashing, docs, fold, rows, sentence, words
 
 from voxloom.llm import bpe, brown_lm, hnsw, language, mixing, pii, urls
 from voxloom.llm import queries as Q
