@@ -51,9 +51,18 @@ def unique_payloads(inputs: DataFrame, payload: str) -> DataFrame:
 
 
 def valid_entries(store: DataFrame, contract: str, dim: int) -> DataFrame:
-    """Hashes already stored under this contract with a finite vector of the right size."""
-    good = (F.col("contract_sha256") == contract) & is_finite_vector(F.col("embedding"), dim)
-    return store.where(good).select("key_hash").distinct()
+    """Hashes already stored under this contract with a finite vector of the right size.
+
+    Rows written by :func:`materialize_embeddings` carry the size of their checked vector,
+    so asking for them reads no vector; only rows without it are looked into.
+    """
+    mine = store.where(F.col("contract_sha256") == contract)
+    looked_into = is_finite_vector(F.col("embedding"), dim)
+    if "vector_dim" not in store.columns:
+        return mine.where(looked_into).select("key_hash").distinct()
+    recorded = mine.where(F.col("vector_dim") == dim).select("key_hash")
+    other = mine.where(F.col("vector_dim").isNull()).where(looked_into).select("key_hash")
+    return recorded.unionByName(other).distinct()
 
 
 def resume_pending(unique: DataFrame, store: DataFrame, contract: str, dim: int) -> DataFrame:
@@ -151,6 +160,7 @@ STORE_SCHEMA = T.StructType(
     [
         T.StructField("key_hash", T.StringType()),
         T.StructField("embedding", T.ArrayType(T.FloatType())),
+        T.StructField("vector_dim", T.IntegerType()),
         T.StructField("modality", T.StringType()),
         T.StructField("contract_sha256", T.StringType()),
     ]
@@ -189,7 +199,7 @@ def materialize_embeddings(
             F.raise_error("the encoder returned an invalid vector").cast("array<float>")
         )
         encoded.select(
-            "key_hash", vector.alias("embedding"), F.lit(modality).alias("modality"),
+            "key_hash", vector.alias("embedding"), F.lit(dim).alias("vector_dim"), F.lit(modality).alias("modality"),
             F.lit(contract).alias("contract_sha256"),
         ).write.mode("append").partitionBy("modality", "contract_sha256").parquet(path)
     return counters
