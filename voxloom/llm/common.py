@@ -24,7 +24,16 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written.kept_path = path
+    return written
+
+
+def discard(written: DataFrame) -> None:
+    """Delete what :func:`kept` wrote, once all that reads it has been written itself."""
+    spark = written.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(written.kept_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free_name(df: DataFrame, base: str) -> str:

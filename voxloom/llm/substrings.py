@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from voxloom.llm.common import kept, raw, result, text_batches, words_of
+from voxloom.llm.common import discard, kept, raw, result, text_batches, words_of
 
 LENGTH = 13
 RUN = 4
@@ -122,13 +122,14 @@ def _emit_seeds(arrow):
         yield pa.RecordBatch.from_arrays([pa.array(seeds), pa.array(owners)], ["seed", "doc_id"])
 
 
-def shared_seeds(docs: DataFrame) -> DataFrame:
-    """doc_id, seeds, homes: the seeds a document shares with others, and their homes."""
-    seeds = kept(
-        docs.where(F.col("doc_id").isNotNull()).select("doc_id", raw("text").alias("text"))
-        .mapInArrow(_emit_seeds, "seed long, doc_id long"),
-        "seeds",
-    )
+def all_seeds(docs: DataFrame) -> DataFrame:
+    """seed, doc_id: the distinct seeds of every document with an id."""
+    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", raw("text").alias("text"))
+    return kept(texts.mapInArrow(_emit_seeds, "seed long, doc_id long"), "seeds")
+
+
+def shared_seeds(seeds: DataFrame) -> DataFrame:
+    """doc_id, shared: the seeds a document shares with others, and their homes."""
     homes = seeds.groupBy("seed").agg(F.min("doc_id").alias("home"), F.max("doc_id").alias("last")).where("home < last")
     return seeds.join(homes.select("seed", "home"), "seed").groupBy("doc_id").agg(
         F.collect_list(F.struct("seed", "home")).alias("shared")
@@ -248,6 +249,8 @@ def repeated_spans(opened: DataFrame) -> DataFrame:
     found = kept(
         sorted_rows.mapInArrow(_stream, "doc_id long, text_key long, start long, stop long, digest binary"), "spans"
     )
+    discard(stretches)
+    discard(asked)
     open_windows = found.where(F.col("digest").isNotNull())
     first = open_windows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     later = open_windows.join(first, "digest").where(F.col("doc_id") > F.col("first"))
@@ -278,12 +281,14 @@ def _without_spans(arrow):
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and the digest of the words that stay, for every document."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), raw("text").alias("text"))
+    seeds = all_seeds(docs)
     opened = kept(
-        rows.join(shared_seeds(docs), "doc_id", "left").mapInArrow(
+        rows.join(shared_seeds(seeds), "doc_id", "left").mapInArrow(
             _open_documents, f"doc_id long, text_key long, stretches {STRETCH}, n_words long, digest string, body binary"
         ),
         "opened",
     )
+    discard(seeds)
     spans = repeated_spans(opened.where(F.col("body").isNotNull())).groupBy("doc_id", "text_key").agg(
         F.collect_set(F.struct("start", "stop")).alias("spans")
     )
