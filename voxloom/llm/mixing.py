@@ -24,7 +24,7 @@ from voxloom.llm.common import free_name, kept, raw
 WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3  # a source gives at most this many times its size
 BLOCK_BITS = 10
-SHARD_WORDS = 50_000_000
+SHARD_WORDS = 4_000_000
 LEAST_SHARDS = 8
 SEED = 20
 MAX_SOURCES = 1_000_000  # sources are an aggregated dimension; beyond this the job refuses
