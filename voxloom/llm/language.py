@@ -14,10 +14,12 @@ when nothing could be learned.
 """
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from voxloom.llm.common import kept, raw, result, text_batches
+from voxloom.llm.common import free_name, kept, raw, result, text_batches
 
 ORDERS = 3
 LANDMARKS = 24
@@ -123,15 +125,16 @@ def _chosen(docs: DataFrame) -> DataFrame:
         F.col("text").isNotNull() & F.col("lang").isNotNull() & F.coalesce(folded != HELD_OUT, F.lit(False))
         & F.col("text").rlike(r"\p{L}")
     )
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "key")
     names = usable.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1)
     if names.count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
-    numbered = usable.select("doc_id", F.xxhash64("text").alias("key"), "lang").withColumn(
-        "n", F.row_number().over(order.orderBy(F.xxhash64("doc_id"), "doc_id", "key"))
+    numbered = usable.select("doc_id", F.xxhash64("text").alias("key"), "lang").distinct().withColumn(
+        "n", F.row_number().over(order)
     ).where(F.col("n") <= SAMPLE)
     # a small side with a proven bound: SAMPLE rows per language
     picked = usable.withColumn("key", F.xxhash64("text")).join(F.broadcast(numbered), ["doc_id", "key", "lang"])
+    picked = picked.dropDuplicates(["doc_id", "key", "lang"])  # repeated rows count once
     return kept(picked.select("text", "lang", "n"), "language-sample")
 
 
@@ -168,8 +171,6 @@ def predictions(docs: DataFrame, text: str, columns: list[str], model) -> DataFr
     """``columns`` of ``docs`` with lang_pred and score for the text column."""
     spark = docs.sparkSession
     schema = [f for c in columns for f in docs.select(c).schema]
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-
     out = StructType([*schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     shared = spark.sparkContext.broadcast(model)
 
@@ -198,8 +199,6 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """Documents whose language was recognised; a missing ``lang`` is filled in."""
-    import pandas as pd
-
     model = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
     @F.pandas_udf("string")
@@ -216,8 +215,6 @@ def keep_identified(docs: DataFrame) -> DataFrame:
                     found[i] = names[b]
         return found
 
-    from voxloom.llm.common import free_name
-
     guess = free_name(docs, "_lang")
     return (
         docs.withColumn(guess, language(raw("text"))).where(F.col(guess) != UNKNOWN)
