@@ -14,7 +14,6 @@ when nothing could be learned.
 """
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -28,6 +27,7 @@ MAX_LANGUAGES = 500
 RIDGE = 1e-3
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 4, 2
+CHUNK = 64  # texts whose presence rows stand in memory at once
 TABLE_CELLS = 1 << 24  # a trie layer of up to so many cells is looked up in a table
 
 
@@ -114,7 +114,8 @@ class Features:
         self.root = vectors[:, good] / np.sqrt(values[good])
 
     def of(self, texts: list[str]) -> np.ndarray:
-        kernel = self.spectrum.presence(texts) @ self.marks.T
+        parts = [self.spectrum.presence(texts[i : i + CHUNK]) @ self.marks.T for i in range(0, len(texts), CHUNK)]
+        kernel = np.concatenate(parts) if parts else np.zeros((0, len(self.marks)))
         return np.hstack([kernel.astype(np.float64) @ self.root, np.ones((len(texts), 1))])
 
 
@@ -201,19 +202,20 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     """Documents whose language was recognised; a missing ``lang`` is filled in."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
-    @F.pandas_udf("string")
-    def language(texts: pd.Series) -> pd.Series:
-        found = pd.Series([UNKNOWN] * len(texts), dtype=object)
-        strings = [t.decode("utf-8", "replace") for t in texts]
-        some = [i for i, t in enumerate(strings) if has_letter(t)]
-        for start in range(0, len(some), 256):
-            part = some[start : start + 256]
-            if model.value:
-                names, features, weights = model.value
-                best = (features.of([strings[i] for i in part]) @ weights).argmax(axis=1)
-                for i, b in zip(part, best):
-                    found[i] = names[b]
-        return found
+    @F.arrow_udf("string")
+    def language(texts: pa.Array) -> pa.Array:
+        found = []
+        for start in range(0, len(texts), CHUNK):  # never a whole batch as Python strings
+            strings = [t.decode("utf-8", "replace") for t in texts.slice(start, CHUNK).to_pylist()]
+            names = [UNKNOWN] * len(strings)
+            some = [i for i, t in enumerate(strings) if has_letter(t)]
+            if model.value and some:
+                known, features, weights = model.value
+                best = (features.of([strings[i] for i in some]) @ weights).argmax(axis=1)
+                for i, b in zip(some, best):
+                    names[i] = known[b]
+            found += names
+        return pa.array(found, pa.string())
 
     guess = free_name(docs, "_lang")
     return (

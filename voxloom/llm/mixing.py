@@ -16,6 +16,7 @@ empty table gives an empty mix.  Repeated rows are documents of their own.
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import LongType
 
@@ -30,9 +31,9 @@ SEED = 20
 MAX_SOURCES = 1_000_000  # sources are an aggregated dimension; beyond this the job refuses
 
 
-@F.pandas_udf(LongType())
-def word_count(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: len(t.split())).astype("int64")
+@F.arrow_udf(LongType())
+def word_count(text: pa.Array) -> pa.Array:
+    return pa.array((len(t.as_py().split()) for t in text), pa.int64())
 
 
 def _mixed_hash(*parts: Column | str) -> Column:
