@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from voxloom.llm.common import raw, result, text_batches
 
-REMEMBERED = 400_000  # pre-tokens a worker remembers
+REMEMBERED = 200_000  # pre-tokens a worker remembers
 LONGEST = 64  # bytes of a remembered pre-token
 MASK = (1 << 64) - 1
 ODD, SPREAD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd multipliers that mix 64-bit words
@@ -60,7 +60,7 @@ class PerfectHash:
 
     def __init__(self, keys: list[bytes]):
         n = self.n = len(keys)
-        self.buckets = max(1, n // 4)
+        self.buckets = max(1, n // 2)  # few keys a bucket: few displacements to try
         hashes = [xxhash.xxh64_intdigest(k) for k in keys]
         if len(set(hashes)) != n:
             raise ValueError("keys repeat or their hashes collide")
@@ -247,7 +247,7 @@ def round_trip_digests(
     def digests(arrow):
         own = encoder(name, ranks, pattern)
         number = own.text_of.__getitem__
-        for batch, texts in text_batches(arrow):
+        for batch, texts in text_batches(arrow, 1 << 20):
             all_ids, of_ids, of_bytes = [own.encode(t) for t in texts], [], []
             for found in all_ids:
                 of_ids.append(hashlib.sha256(" ".join(map(number, found)).encode()).hexdigest())
