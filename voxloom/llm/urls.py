@@ -4,8 +4,15 @@ A url is judged by the longest rule that fits.  Hosts most of whose pages a rule
 trusted seeds, hosts most of whose pages a rule blocks are blocked seeds.  Over the distinct
 host links of all pages, weighted by the pages that carry them, trust is a personalised
 PageRank along the links, and distrust one against them: linking to a blocked host is what
-makes a host suspicious.  A page without a rule is blocked when its host's distrust reaches
-``THRESHOLD`` and exceeds its trust.
+makes a host suspicious.
+
+Distrust of a blocked host is divided among all that link to it, so its size says little in a
+large graph.  ``reach`` is not divided: it is the damped chance that a walk along a host's
+links comes to a blocked host.  A page without a rule is blocked when its host's distrust or
+reach comes to ``THRESHOLD`` and its distrust exceeds its trust.
+
+All three start from the seeds' shares and are iterated until no host's value changes by more
+than ``TOLERANCE`` of itself; changes below ``LEAST`` count as none.
 
 DataFrame functions only.  Links are reduced to distinct host pairs before any iteration.
 Null urls, and urls without ``://``, have an empty host and path, belong to no host of the
@@ -25,8 +32,9 @@ RULES = (
     ("allow", "org", "/fr/"),
 )
 FOLLOW = 0.85
-ROUNDS = 8
+ROUNDS = 8  # rounds before the first look at convergence
 KEEP_EVERY = 4  # rounds between written states
+TOLERANCE, LEAST = 1e-6, 1e-13
 THRESHOLD = 0.01
 LINK = r"""(?i)href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^"'\s>/?#]+)"""
 
@@ -75,25 +83,44 @@ def host_links(pages: DataFrame) -> DataFrame:
     )
 
 
-def propagate(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """host, trust, distrust after ``rounds`` from ``seeds(host, trusted, blocked)``."""
-    start = seeds.select("host", (F.col("trusted") * (1 - FOLLOW)).alias("t0"), (F.col("blocked") * (1 - FOLLOW)).alias("d0"))
-    state = seeds.select("host", F.col("trusted").alias("trust"), F.col("blocked").alias("distrust"))
-    none = F.lit(0.0)
-    for turn in range(1, rounds + 1):
-        forward = links.join(state, links["src"] == state["host"]).select(
-            F.col("dst").alias("host"), (F.col("trust") * F.col("along")).alias("t"), none.alias("d")
-        )
-        backward = links.join(state, links["dst"] == state["host"]).select(
-            F.col("src").alias("host"), none.alias("t"), (F.col("distrust") * F.col("against")).alias("d")
-        )
-        own = start.select("host", (F.col("t0") / FOLLOW).alias("t"), (F.col("d0") / FOLLOW).alias("d"))
-        state = forward.unionByName(backward).unionByName(own).groupBy("host").agg(
-            (F.sum("t") * FOLLOW).alias("trust"), (F.sum("d") * FOLLOW).alias("distrust")
+def propagate(seeds: DataFrame, links: DataFrame) -> DataFrame:
+    """host, trust, distrust, reach, iterated until they stand, from ``seeds(host, trusted, blocked)``."""
+    none, names = F.lit(0.0), ("trust", "distrust", "reach")
+    start = seeds.select(
+        "host", (F.col("trusted") * (1 - FOLLOW)).alias("trust"),
+        *[(F.col("blocked") * (1 - FOLLOW)).alias(c) for c in names[1:]],
+    )
+    ways = links.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.col("along").alias("t"), none.alias("d"), none.alias("r"))
+    ways = ways.unionByName(
+        links.select(F.col("dst").alias("at"), F.col("src").alias("to"), none.alias("t"), F.col("against").alias("d"), F.col("along").alias("r"))
+    )
+    if links.isEmpty():
+        return start
+    state, turn = start, 0
+    while True:
+        turn += 1
+        moved = ways.join(state, ways["at"] == state["host"]).select(
+            F.col("to").alias("host"), *[(F.col(c) * F.col(w) * FOLLOW).alias(c) for c, w in zip(names, "tdr")]
         )
-        if turn % KEEP_EVERY == 0 or turn == rounds:
-            state = kept(state, "host-state")
-    return state
+        looked = turn % KEEP_EVERY == 0
+        parts = [moved, start] if not looked else [moved, start, state]
+        sides = [
+            p.select("host", *[F.col(c) if i < 2 else none.alias(c) for c in names],
+                     *[(F.col(c) if i == 2 else none).alias(f"old_{c}") for c in names])
+            for i, p in enumerate(parts)
+        ]
+        both = sides[0]
+        for side in sides[1:]:
+            both = both.unionByName(side)
+        sums = both.groupBy("host").agg(*[F.sum(c).alias(c) for c in (*names, *(f"old_{c}" for c in names))])
+        if not looked:
+            state = sums.select("host", *names)
+            continue
+        sums = kept(sums, "host-state")
+        state = sums.select("host", *names)
+        moving = [F.abs(F.col(c) - F.col(f"old_{c}")) > TOLERANCE * F.col(c) + LEAST for c in names]
+        if turn >= ROUNDS and sums.where(moving[0] | moving[1] | moving[2]).isEmpty():
+            return state
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -112,9 +139,9 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
         "host-seeds",
     )
     state = propagate(seeds, host_links(pages)).select(
-        F.col("host").alias("h"), F.round("trust", 12).alias("trust"), F.round("distrust", 12).alias("distrust")
+        F.col("host").alias("h"), *[F.round(c, 12).alias(c) for c in ("trust", "distrust", "reach")]
     )
-    suspect = (F.col("distrust") >= THRESHOLD) & (F.col("distrust") > F.col("trust"))
+    suspect = (F.greatest("distrust", "reach") >= THRESHOLD) & (F.col("distrust") > F.col("trust"))
     by_graph = F.when(F.coalesce(suspect, F.lit(False)), "block").otherwise("allow")
     return parsed.join(state, F.col("host") == F.col("h"), "left").select(
         "page_id", "host", "path", F.col("found.rule").alias("rule"),
