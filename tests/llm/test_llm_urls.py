@@ -45,3 +45,8 @@ def test_scores_are_converged(spark):
     for r in urls.judge(spark.createDataFrame(rows, PAGES)).collect():
         i = hosts.index(r["host"])
         assert abs(r["trust"] - trust[i]) < 1e-5 and abs(r["distrust"] - distrust[i]) < 1e-5
+
+
+def test_blocked_targets_without_a_page(spark):
+    found = verdicts(spark, [("a.info", ["deep.gone.net"]), ("b.info", ["gone.info"]), ("c.info", ["a.info"]), ("d.info", ["x.org"])])
+    assert found == {"a.info": "block", "b.info": "allow", "c.info": "block", "d.info": "allow"}

@@ -1,8 +1,8 @@
 """URL filter: path rules first, then trust and distrust spread over the links of hosts.
 
 A url is judged by the longest rule that fits.  Hosts most of whose pages a rule allows are
-trusted seeds, hosts most of whose pages a rule blocks are blocked seeds.  Over the distinct
-host links of all pages, weighted by the pages that carry them, trust is a personalised
+trusted seeds, hosts most of whose pages a rule blocks are blocked seeds; a linked host without
+a page is judged as its path ``/`` would be.  Over the distinct host links of all pages, weighted by the pages that carry them, trust is a personalised
 PageRank along the links, and distrust one against them: linking to a blocked host is what
 makes a host suspicious.
 
@@ -138,7 +138,15 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
         ),
         "host-seeds",
     )
-    state = propagate(seeds, host_links(pages)).select(
+    links = host_links(pages)
+    unseen = links.select(F.col("dst").alias("host")).distinct().join(seeds, "host", "left_anti").withColumn(
+        "verdict", longest_rule(F.col("host"), F.lit("/"), rules)["verdict"]
+    ).where("verdict is not null")
+    unseen = unseen.select(
+        "host", (F.col("verdict") == "allow").cast("double").alias("trusted"),
+        (F.col("verdict") == "block").cast("double").alias("blocked"),
+    )
+    state = propagate(kept(seeds.unionByName(unseen), "all-seeds"), links).select(
         F.col("host").alias("h"), *[F.round(c, 12).alias(c) for c in ("trust", "distrust", "reach")]
     )
     suspect = (F.greatest("distrust", "reach") >= THRESHOLD) & (F.col("distrust") > F.col("trust"))
