@@ -199,7 +199,10 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """Documents whose language was recognised; a missing ``lang`` is filled in."""
+    """Documents whose language was recognised; a missing ``lang`` is filled in.
+
+    Without a usable label there is no model: every text with a letter stays as it is.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
     @F.arrow_udf("string")
@@ -207,9 +210,12 @@ def keep_identified(docs: DataFrame) -> DataFrame:
         found = []
         for start in range(0, len(texts), CHUNK):  # never a whole batch as Python strings
             strings = [t.decode("utf-8", "replace") for t in texts.slice(start, CHUNK).to_pylist()]
-            names = [UNKNOWN] * len(strings)
             some = [i for i, t in enumerate(strings) if has_letter(t)]
-            if model.value and some:
+            names = [UNKNOWN] * len(strings)
+            if not model.value:
+                for i in some:
+                    names[i] = None
+            elif some:
                 known, features, weights = model.value
                 best = (features.of([strings[i] for i in some]) @ weights).argmax(axis=1)
                 for i, b in zip(some, best):
@@ -219,6 +225,6 @@ def keep_identified(docs: DataFrame) -> DataFrame:
 
     guess = free_name(docs, "_lang")
     return (
-        docs.withColumn(guess, language(raw("text"))).where(F.col(guess) != UNKNOWN)
+        docs.withColumn(guess, language(raw("text"))).where(~F.col(guess).eqNullSafe(UNKNOWN))
         .withColumn("lang", F.coalesce(F.col("lang"), F.col(guess))).drop(guess)
     )
