@@ -2,7 +2,9 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxloom.llm import bpe, brown_lm, exact, hnsw, language, mixing, pii, simhash, substrings, urls
+from voxloom.llm import (
+    bpe, brown_lm, credentials, exact, hnsw, language, mixing, periodic, pii, simhash, spelling, substrings, urls,
+)
 from voxloom.llm.common import table
 
 
@@ -71,6 +73,28 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return spelling.variants(spelling.vocabulary(docs, change=spelling.with_typing_errors))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.collapse_runs(table(spark, sf_dir, "documents"), periodic.with_periodic_tail)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    length, start, period = best["length"], -best["start"], -best["period"]
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"),
+        period.alias("period"), F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,6 +112,9 @@ QUERIES = {
     "op8_hnsw": op8_hnsw,
     "op9_exact": op9_exact,
     "op10_mix": op10_mix,
+    "op11_secrets": op11_secrets,
+    "op12_spelling": op12_spelling,
+    "op13_runs": op13_runs,
     "pipeline": pipeline,
 }
 ORACLES = {"op9_exact": OP9_SQL}
