@@ -16,13 +16,40 @@ def _folds() -> tuple[dict[str, str], dict[str, str]]:
 FOLD_ONE, FOLD_MORE = _folds()
 
 
+# Lower-cased text of these characters alone needs no more than its sharp s written out.
+_LATIN = r"[^\x{0}-\x{B4}\x{B6}-\x{148}]"
+
+
+def _any_of(characters) -> str:
+    """A regular expression for any of the characters, neighbours drawn together."""
+    ranges: list[list[int]] = []
+    for c in sorted(map(ord, characters)):
+        if ranges and c == ranges[-1][1] + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
 def case_fold(text: Column) -> Column:
-    """Full case folding; the rare characters that become several take a path of their own."""
-    single = F.translate(F.lower(text), "".join(FOLD_ONE), "".join(FOLD_ONE.values()))
+    """Full case folding.
+
+    Almost all texts are done after lower-casing, or after that and the sharp s: ASCII is known
+    by its length in bytes, Latin by one scan.  What case folding changes besides is rare, and
+    only texts that hold such a character are translated.
+    """
+    low = F.lower(text)
+    single = F.translate(low, "".join(FOLD_ONE), "".join(FOLD_ONE.values()))
     wide = single
     for c, folded in FOLD_MORE.items():
         wide = F.replace(wide, F.lit(c), F.lit(folded))
-    return F.when(single.rlike("[" + "".join(FOLD_MORE) + "]"), wide).otherwise(single)
+    sharp = F.replace(low, F.lit("ß"), F.lit("ss"))
+    others = _any_of(({*FOLD_ONE} | {*FOLD_MORE}) - {"ß"})
+    return (
+        F.when(F.octet_length(text) == F.char_length(text), low)
+        .when(~low.rlike(_LATIN) | ~low.rlike(others), sharp)
+        .otherwise(wide)
+    )
 
 
 def normalize_text(text: Column) -> Column:
