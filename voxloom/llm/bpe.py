@@ -3,8 +3,10 @@
 Tier one: a minimal perfect hash over the vocabulary (as many slots as tokens) resolves a
 whole pre-token with one probe and one comparison.  Tier two: a miss is merged over its
 linked bytes with a heap of candidate pairs, lowest rank first, leftmost among equals; the
-rank of a pair comes from the same hash.  Results per pre-token are remembered, with a
-bound, while a worker lives.
+rank of two bytes comes from a table of all pairs of bytes, that of longer pieces from the
+ranks themselves.  Results per pre-token are remembered while a worker lives, in two
+generations of bounded size: when the younger is full the older is forgotten, so frequent
+pre-tokens stay.
 
 The work is one map over the documents and needs no shuffle.  The vocabulary is a file of
 fixed size.  Null text is empty: no tokens, the digest of nothing.
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from voxloom.llm.common import raw, result, text_batches
 
-REMEMBERED = 200_000  # pre-tokens a worker remembers
+REMEMBERED = 300_000  # pre-tokens a worker remembers in each generation
 LONGEST = 64  # bytes of a remembered pre-token
 MASK = (1 << 64) - 1
 ODD, SPREAD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd multipliers that mix 64-bit words
@@ -101,7 +103,8 @@ class PerfectHash:
 
 class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.hash = PerfectHash(list(ranks))
+        self.hash, self.ranks = PerfectHash(list(ranks)), ranks
+        self.pair_rank = [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
         self.rank_at = [ranks[k] for k in self.hash.keys]
         size = max(ranks.values()) + 1
         self.token = [b""] * size
@@ -111,6 +114,7 @@ class Encoder:
         self.split = regex.compile(pattern).findall
         self.latin = self._latin(pattern)
         self.memory: dict = {}
+        self.older: dict = {}
 
     @staticmethod
     def _latin(pattern: str):
@@ -127,48 +131,57 @@ class Encoder:
         at = self.hash.slot(piece)
         return self.rank_at[at] if self.hash.keys[at] == piece else None
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Heap over linked bytes: entries whose pair has changed since are passed over."""
-        n = len(piece)
-        after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        heap: list[tuple[int, int, int]] = []
-
-        def offer(left: int) -> None:
-            right = after[left]
-            if right < n:
-                r = self.rank(piece[left : end[right]])
-                if r is not None:
-                    heapq.heappush(heap, (r, left, end[right]))
+    def merge(self, piece: bytes) -> tuple[int, ...]:
+        """Heap over linked bytes: entries whose pair has changed since are passed over.
 
-        for i in range(n - 1):
-            offer(i)
-        alive = bytearray(b"\x01" * n)
+        An entry is one number made of rank, left end and right end.
+        """
+        n, get, push, pop = len(piece), self.ranks.get, heapq.heappush, heapq.heappop
+        pairs, bits = self.pair_rank, n.bit_length()
+        mask, wide = (1 << bits) - 1, 2 * bits
+        after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+        heap, i = [], 2
+        for a, b in zip(piece, piece[1:]):
+            r = pairs[a << 8 | b]
+            if r >= 0:
+                heap.append(r << wide | i - 2 << bits | i)
+            i += 1
+        heapq.heapify(heap)
         while heap:
-            _, left, stop = heapq.heappop(heap)
+            entry = pop(heap)
+            stop, left = entry & mask, entry >> bits & mask
             right = after[left]
-            if not alive[left] or right >= n or end[right] != stop:
+            if right >= n or end[right] != stop:  # ``after`` of a merged byte is n
                 continue
-            alive[right] = 0
-            end[left], after[left] = stop, after[right]
-            if after[left] < n:
-                before[after[left]] = left
-            offer(left)
-            if before[left] >= 0:
-                offer(before[left])
+            end[left] = stop
+            further = after[left] = after[right]
+            after[right] = n
+            if further < n:
+                before[further] = left
+                i = end[further]
+                r = get(piece[left:i])
+                if r is not None:
+                    push(heap, r << wide | left << bits | i)
+            i = before[left]
+            if i >= 0:
+                r = get(piece[i:stop])
+                if r is not None:
+                    push(heap, r << wide | i << bits | stop)
         ids, i = [], 0
         while i < n:
-            ids.append(self.rank(piece[i : end[i]]))
+            ids.append(get(piece[i : end[i]]))
             i = after[i]
-        return ids
+        return tuple(ids)
 
-    def piece_ids(self, piece: bytes) -> list[int]:
+    def piece_ids(self, piece: bytes) -> tuple[int, ...]:
         r = self.rank(piece)
-        return [r] if r is not None else self.merge(piece)
+        return (r,) if r is not None else self.merge(piece)
 
-    def _remember(self, key, piece: bytes) -> list[int]:
-        ids = self.piece_ids(piece)
+    def _remember(self, key, piece: bytes) -> tuple[int, ...]:
+        ids = self.older.get(key) or self.piece_ids(piece)
         if len(piece) <= LONGEST:
             if len(self.memory) >= REMEMBERED:
+                self.older = dict(self.memory)
                 self.memory.clear()
             self.memory[key] = ids
         return ids
