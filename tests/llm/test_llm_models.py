@@ -60,23 +60,65 @@ def test_language_model(spark, monkeypatch):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_rarer_words_take_the_class_of_their_contexts(spark, monkeypatch):
+    """Nouns stand after articles and before verbs; with rare ones the class still tells."""
+    monkeypatch.setattr(brown_lm, "UNIT_SHARE", 40)
+    monkeypatch.setattr(brown_lm, "CLASSES", 4)
+    monkeypatch.setattr(brown_lm, "GROUP", 16)
+    rng, data = random.Random(5), []
+    nouns, verbs = [f"n{i:03d}{rng.randrange(10**6)}" for i in range(60)], [f"v{i:03d}{rng.randrange(10**6)}" for i in range(60)]
+    pick = lambda common, rare: rng.choice(common if rng.random() < 0.6 else rare)
+    for i in range(600):
+        text = " ".join(
+            f"{rng.choice(['the', 'a'])} {pick(['dog', 'cat', 'cow'], nouns)} {pick(['runs', 'sees', 'eats'], verbs)}" for _ in range(6)
+        )
+        data.append((i, text, "en", "s", 1))
+    model, _ = brown_lm.train_model(docs(spark, data))
+    found = [Counter(int(model.classes[model.units[w.encode()]]) for w in group) for group in (nouns, verbs)]
+    assert found[0].most_common(1)[0][1] >= 55 and found[1].most_common(1)[0][1] >= 55
+    assert found[0].most_common(1)[0][0] != found[1].most_common(1)[0][0]
+
+
+def test_endings_are_characters():
+    units = brown_lm.Units({b"a": 0})
+    for one, other in (("зимний", "летний"), ("你好世界", "他好世界"), ("abc", "xabc"), ("é", "é")):
+        assert units[one.encode()] == units[other.encode()] >= 1
+
+
 def test_exchange_raises_likelihood():
+    """Every sweep, up to where no unit moves; two kinds of units that follow each other part."""
     rng = np.random.default_rng(1)
     kinds = np.repeat([0, 1], 20)
-    follow = np.where(kinds[:, None] != kinds[None, :], rng.poisson(30, (40, 40)), 1).astype(float)
+    pairs = np.where(kinds[:, None] != kinds[None, :], rng.poisson(30, (40, 40)), 1).astype(float)
     classes = np.arange(40) % brown_lm.CLASSES
-
-    def likelihood(c):
-        n = np.zeros((brown_lm.CLASSES,) * 2)
-        np.add.at(n, (c[:, None], c[None, :]), follow)
-        f = brown_lm._xlogx
-        return f(n).sum() - f(n.sum(0)).sum() - f(n.sum(1)).sum()
-
-    before = likelihood(classes)
-    for _ in range(3):
-        one = np.eye(brown_lm.CLASSES)[classes]
-        classes, moved = brown_lm.exchange(classes, follow.T @ one, follow @ one)
-    assert likelihood(classes) > before and moved >= 0
+    reached = brown_lm.likelihood(brown_lm.class_pairs(classes, pairs))
+    for _ in range(brown_lm.SWEEPS):
+        classes, moved = brown_lm.exchange(classes, pairs)
+        now = brown_lm.likelihood(brown_lm.class_pairs(classes, pairs))
+        assert now > reached if moved else now == reached
+        reached = now
+        if not moved:
+            break
+    assert not moved and not {c for c, k in zip(classes, kinds) if k} & {c for c, k in zip(classes, kinds) if not k}
+
+
+def test_exchange_takes_the_best_class():
+    """The gain of each move is the likelihood's, units that follow themselves included."""
+    rng = np.random.default_rng(2)
+    pairs = rng.poisson(2, (12, 12)).astype(float)
+    start = rng.integers(0, 4, 12)
+    classes = start.copy()
+    for u in np.argsort(-pairs.sum(axis=1), kind="stable"):
+        values = []
+        for c in range(brown_lm.CLASSES):
+            tried = classes.copy()
+            tried[u] = c
+            values.append(brown_lm.likelihood(brown_lm.class_pairs(tried, pairs)))
+        if max(values) > values[classes[u]] + 1e-6:
+            classes[u] = int(np.argmax(values))
+    found, _ = brown_lm.exchange(start, pairs)
+    reach = lambda c: brown_lm.likelihood(brown_lm.class_pairs(c, pairs))
+    assert reach(found) == pytest.approx(reach(classes))
 
 
 def test_language_model_empty(spark):
@@ -110,6 +152,27 @@ def test_bpe_matches_library(spark):
     assert bpe.round_trip_digests(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_generations_of_remembered_pretokens(monkeypatch):
+    """However little is remembered, ids are the library's."""
+    enc, ranks = reference_encoding(), bpe.read_ranks(bpe.vocabulary_path())
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9))) for _ in range(200)) for _ in range(20)]
+    for most in (1, 7, 100_000):
+        monkeypatch.setattr(bpe, "REMEMBERED", most)
+        own = bpe.Encoder(ranks, bpe.default_pattern())
+        for text in texts:
+            assert own.encode(text.encode()) == enc.encode_ordinary(text)
+            assert len(own.memory) <= most and len(own.older) <= most
+
+
+def test_merges_match_library():
+    enc, ranks = reference_encoding(), bpe.read_ranks(bpe.vocabulary_path())
+    own, rng = bpe.Encoder(ranks, bpe.default_pattern()), random.Random(9)
+    for _ in range(3000):
+        piece = "".join(rng.choice("abeinrst") for _ in range(rng.randint(1, 40)))
+        assert list(own.merge(piece.encode())) == enc.encode_ordinary(piece)
+
+
 def test_perfect_hash_is_minimal():
     keys = [str(i).encode() for i in range(5000)]
     table = bpe.PerfectHash(keys)
