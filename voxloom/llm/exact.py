@@ -18,7 +18,7 @@ from voxloom.llm.common import ascii_lower, kept, pick_rows
 from voxloom.scratch import new_folder
 
 BUCKETS = 64
-HOT_SHARE = 1000  # a digest with over 1/1000 of the rows is hot: at most 1,000 digests are
+HOT_SHARE = 1000  # a digest with over 1/1000 of a batch's rows is hot: under 1,000 digests are
 INDEX_COLUMNS = ("digest", "keep_id", "keep_row", "group_size", "batch")
 
 
@@ -71,8 +71,10 @@ def exact_duplicates(docs: DataFrame, index_path: str | None = None, buckets: in
     rows = numbered_digests(docs)
     batch = add_batch(rows, index, buckets)
     owners = spark.table(index)
-    # The few hot digests travel to the rows; all other rows travel to their digest.
-    hot = owners.where(F.col("group_size") * HOT_SHARE > rows.count()).select(
+    # The few digests that are hot in this batch travel to the rows; all other rows travel to
+    # their digest.
+    hot = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * HOT_SHARE > rows.count())
+    hot = owners.join(F.broadcast(hot.select("digest")), "digest", "left_semi").select(
         "digest", F.struct("keep_id", "keep_row", "group_size", "batch").alias("hot")
     )
     marked = rows.join(F.broadcast(hot), "digest", "left")
