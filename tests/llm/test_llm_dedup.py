@@ -7,7 +7,7 @@ import xxhash
 from llm_helpers import DOCS, by_id, clashing, docs, rows, words
 from pyspark.sql import functions as F
 
-from voxloom.llm import exact, simhash, substrings
+from voxloom.llm import common, exact, shingles, simhash, substrings
 from voxloom.llm import queries as Q
 
 NULL_ID = [(None, "nobody here", "en", "s", 1), (None, "nobody here", "en", "s", 1), (3, "Nobody here", "en", "s", 1)]
@@ -61,6 +61,42 @@ def test_hot_digest(spark):
     assert found[2]["keep_id"] == 2 and found[2]["kept"] and len(found) == 400
 
 
+def test_small_batch_against_a_large_index(spark, tmp_path):
+    """Only digests that are hot in the batch travel, never the whole index."""
+    path = f"file://{tmp_path}/index"
+    exact.exact_duplicates(docs(spark, [(i, f"text {i}", "en", "s", 1) for i in range(3000)]), path, 4).count()
+    batch = [(5000 + i, f"TEXT {i}", "en", "s", 1) for i in range(10)] + [(6000, "new", "en", "s", 1), (6001, "NEW", "en", "s", 1)]
+    found = by_id(exact.exact_duplicates(docs(spark, batch), path, 4))
+    assert all(found[5000 + i]["keep_id"] == i and not found[5000 + i]["kept"] for i in range(10))
+    assert (found[6000]["keep_id"], found[6001]["kept"], found[6001]["group_size"]) == (6001, True, 2)
+
+
+@pytest.mark.parametrize("maps, bits", [(2, 1 << 15), (1, 8), (1, 1)])
+def test_bitmaps_lose_and_add_nothing(spark, monkeypatch, maps, bits):
+    """However many keys share a bit, the same rows come out."""
+    monkeypatch.setattr(common, "MAPS", maps)
+    monkeypatch.setattr(common, "MAP_BITS", bits)
+    df = spark.range(-200, 200).withColumnRenamed("id", "x")
+    keys = spark.range(-50, 60, 3).withColumnRenamed("id", "key")
+    wanted = set(range(-50, 60, 3))
+    marked = common.marked(df, "maybe", F.col("x"), keys)
+    assert marked.columns == ["x", "maybe"] and wanted <= {r["x"] for r in marked.where("maybe").collect()}
+    assert sorted(r["x"] for r in common.only(df, "x", keys).collect()) == sorted(wanted)
+    assert sorted(r["x"] for r in common.without(df, "x", keys).collect()) == sorted(set(range(-200, 200)) - wanted)
+    assert common.without(df, "x", keys.where("false")).count() == 400 and common.only(df, "x", keys.where("false")).count() == 0
+    data, columns = rows(), clashing(spark).columns
+    out = exact.drop_exact_duplicates(clashing(spark))
+    assert out.columns == columns and out.count() == len({lower(r[1]) for r in data})
+    out = shingles.drop_near_duplicates(clashing(spark))
+    assert out.columns == columns and 0 < out.count() < len({lower(r[1]) for r in data})
+
+
+def test_bitmaps_spare_the_texts(spark):
+    """Told-apart rows are most of those that no key holds."""
+    df, keys = spark.range(20000), spark.range(100).withColumnRenamed("id", "key")
+    assert common.marked(df, "maybe", F.col("id"), keys).where("maybe").count() < 110
+
+
 def test_exact_keeps_columns(spark):
     out = exact.drop_exact_duplicates(clashing(spark))
     assert out.columns == clashing(spark).columns

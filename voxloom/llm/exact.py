@@ -94,8 +94,12 @@ def drop_exact_duplicates(docs: DataFrame, index_path: str | None = None, bucket
     """The rows of ``docs`` that stay, with their own columns."""
     spark = docs.sparkSession
     index = open_index(spark, index_path or new_folder(spark, "digest-index"), buckets)
-    batch = add_batch(numbered_digests(docs), index, buckets)
-    winners = spark.table(index).where(F.col("batch") == batch).select(
-        F.col("keep_id").alias("win_id"), F.col("digest").alias("win_key")
+    rows = numbered_digests(docs)
+    batch = add_batch(rows, index, buckets)
+    own = spark.table(index).where(F.col("batch") == batch)
+    winners = own.select(F.col("keep_id").alias("win_id"), F.col("digest").alias("win_key"))
+    # texts that stand once and are new stay where they are; only the others move
+    doubtful = rows.join(own.where("group_size = 1").select("digest"), "digest", "left_anti")
+    return pick_rows(
+        docs, winners, digest_of(F.col("text")), doubtful=doubtful.select(F.xxhash64("doc_id", "digest").alias("key"))
     )
-    return pick_rows(docs, winners, digest_of(F.col("text")))
