@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from voxloom.llm.common import raw, result, text_batches
 
-REMEMBERED = 300_000  # pre-tokens a worker remembers in each generation
+REMEMBERED = 100_000  # pre-tokens a worker remembers in each generation
 LONGEST = 64  # bytes of a remembered pre-token
 MASK = (1 << 64) - 1
 ODD, SPREAD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd multipliers that mix 64-bit words

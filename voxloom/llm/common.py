@@ -16,6 +16,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Arrow settings as Spark sets them, and for whole texts: a batch of 10,000 takes 25 MB or more,
+# held several times between the executor and its Python workers.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m"),
+}
+
+
+def long_texts(docs: DataFrame) -> DataFrame:
+    """``docs``; a session that left the sizes of Arrow batches alone gets sizes for long texts."""
+    conf = docs.sparkSession.conf
+    for key, (usual, ours) in BATCHES.items():
+        if conf.get(key, None) == usual:
+            conf.set(key, ours)
+    return docs
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
