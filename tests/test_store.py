@@ -100,3 +100,14 @@ def test_contract_documents(spark, tmp_path):
         path.write_text(json.dumps(document, indent=1))
         got = tables.contract_problems(tables.read_contracts(spark, str(path)), "visual", 2, "m", **options).first()
         assert got.problems == want, name
+
+
+def test_contracts_query_writes_no_file_per_row(spark, sf_dir, tmp_path, monkeypatch):
+    from voxloom.plans import corpus
+
+    monkeypatch.setattr(corpus, "new_folder", lambda *_: str(tmp_path / "contracts"))
+    found = corpus.contract_problems(spark, sf_dir).count()
+    assert found == spark.read.parquet(f"{sf_dir}/supplier.parquet").count() > 8
+    assert len(list((tmp_path / "contracts").glob("part-*"))) <= 8
+    lines = tables.read_contracts(spark, str(tmp_path / "contracts"), one_document_per_file=False)
+    assert lines.where("model_identifier is null").count() == 0

@@ -64,9 +64,9 @@ CONTRACT = (
 )
 
 
-def read_contracts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One settings document per file."""
-    return spark.read.schema(CONTRACT).option("multiLine", True).json(paths)
+def read_contracts(spark: SparkSession, paths: str | list[str], one_document_per_file: bool = True) -> DataFrame:
+    """Settings documents: one per file, or one per line of files that hold many."""
+    return spark.read.schema(CONTRACT).option("multiLine", one_document_per_file).json(paths)
 
 
 def contract_problems(
