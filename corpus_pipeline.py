@@ -18,7 +18,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts with similar shingles (five words, Jaccard 0.8 or more, every such
-    pair) the document with the smallest doc_id stays."""
+    pair) the document with the smallest doc_id stays.  SimHash finds pairs first, a prefix join
+    the pairs that its radius misses; the shingles themselves decide."""
     return shingles.drop_near_duplicates(long_texts(docs))
 
 

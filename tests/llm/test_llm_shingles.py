@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 from llm_helpers import clashing, docs, rows, words
+from pyspark.sql import functions as F
 
 from voxloom.llm import shingles
 
@@ -77,3 +78,41 @@ def test_language_stage_without_labels(spark):
     data = [(1, "some clean text", None, "s", 1), (2, None, None, "s", 1), (3, "123 !!", None, "s", 1), (4, "noch einer", None, "s", 1)]
     out = dict(corpus_pipeline.STAGES)["language"](spark, docs(spark, data), "").collect()
     assert sorted((r["doc_id"], r["lang"]) for r in out) == [(1, None), (4, None)]
+
+
+def test_positional_filter_loses_no_pair():
+    """Of all sets over a few shingles in one order, whatever is similar passes at its first common shingle."""
+    rng, cut = random.Random(4), 0
+    for _ in range(4000):
+        n = rng.randint(1, 14)
+        x = set(rng.sample(range(20), n))
+        y = {s for s in x if rng.random() < 0.9} | {rng.randrange(20) for _ in range(rng.randint(0, 2))}
+        first = min(x & y, default=None)
+        if first is None:
+            continue
+        i, j = sorted(x).index(first), sorted(y).index(first)
+        m, n = len(x), len(y)
+        passes = 5 * min(m, n) >= 4 * max(m, n) and 9 * min(m - i, n - j) >= 4 * (m + n)
+        assert passes or 5 * len(x & y) < 4 * len(x | y)
+        cut += not passes
+    assert cut > 100
+
+
+def test_late_shingles_bring_no_candidates(spark):
+    data = [(1, 100, 0), (2, 100, 0), (3, 100, 15), (4, 30, 0)]
+    found = spark.createDataFrame(data, "row long, size int, at int").where(
+        shingles.may_be_close(F.lit(100), F.col("size"), F.lit(0), F.col("at"), 0.8)
+    )
+    assert sorted(r["row"] for r in found.collect()) == [1, 2]
+
+
+def test_fingerprints_propose_pairs(spark):
+    """A text of two thousand words with one word changed keeps its fingerprint but for a bit or two."""
+    rng, data = random.Random(9), []
+    for i in range(6):
+        text = " ".join(f"w{rng.randrange(9000)}" for _ in range(2000))
+        data += [(2 * i, text, "en", "s", 1), (2 * i + 1, changed(rng, text, 1), "en", "s", 1)]
+    prints = shingles.prefixes(docs(spark, data), 5, 0.8)
+    ids = {r["row"]: r["doc_id"] for r in prints.collect()}
+    found = {tuple(sorted((ids[r["src"]], ids[r["dst"]]))) for r in shingles.fingerprint_pairs(prints).collect()}
+    assert found and found <= {(2 * i, 2 * i + 1) for i in range(6)}

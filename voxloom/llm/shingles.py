@@ -1,4 +1,8 @@
-"""Near duplicates by shingle similarity: a lossless set-similarity join, exact verification.
+"""Near duplicates by shingle similarity: SimHash, a lossless set-similarity join for the rest, exact verification.
+
+The first candidates are those of :mod:`voxloom.llm.simhash`: sets whose 64-bit fingerprints differ in
+at most two bits, by joins on blocks.  Each is verified by the sets themselves.  A radius of two bits
+cannot reach all pairs of the bound, so a second join finds what the fingerprints miss.
 
 Two texts are near copies when the Jaccard similarity of their sets of word shingles (XXH64
 values, as in :mod:`voxloom.llm.simhash`) reaches the bound t.  Such a pair shares at least
@@ -7,6 +11,10 @@ t |x| shingles of either text x, so when both texts put their shingles in one or
 2006).  The order is rare shingles first, by counts in a table of fixed size, which keeps
 boilerplate out of the prefixes; any counts would do for the result.
 
+A pair needs t / (1 + t) (|x| + |y|) shingles in common.  Before the first one there is none, so at
+that one the shorter of the two rests must still hold as many (positional filter, Xiao et al., WWW
+2008): a shingle that stands late in one of two prefixes brings no pair, and such are the frequent ones.
+
 Texts with equal sets take part as one.  Of the texts that share a prefix shingle each is first
 compared with the smallest only, so a crowd of near copies costs one comparison a member.
 Then all pairs that share a prefix shingle and are not yet in one component are compared:
@@ -26,10 +34,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from voxloom.llm.common import discard, kept, marked, only, pick_rows, raw, result, text_batches, without
-from voxloom.llm.simhash import shingle_hashes
+from voxloom.llm.simhash import fingerprint_of, links, shingle_hashes
 from voxloom.operators.graph import connected_components
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -69,29 +77,32 @@ def cell_counts(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """row (a number), doc_id, text_key, node (digest of the shingle set), size and prefix of every row."""
+    """row (a number), doc_id, text_key, node (digest of the shingle set), its fingerprint fp, size and
+    prefix of every row."""
     counts = np.minimum(cell_counts(docs, width), np.iinfo(np.int32).max).astype(np.int32)
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def cut(arrow):
         cells = shared.value
         for batch, texts in text_batches(arrow):
-            nodes, sizes, firsts = [], [], []
+            nodes, prints, sizes, firsts = [], [], [], []
             for text in texts:
                 own = shingle_set(text, width)
                 order = np.lexsort((own, cells[(own & np.uint64(CELLS - 1)).astype(np.int64)]))
                 length = len(own) - math.ceil(similarity * len(own) - ROUNDING) + 1 if len(own) else 0
                 nodes.append(xxhash.xxh128_digest(own.tobytes()))
+                prints.append(fingerprint_of(own))
                 sizes.append(len(own))
                 firsts.append(own[order[:length]].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_key"), pa.array(nodes, pa.binary()),
-                 pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))],
-                ["doc_id", "text_key", "node", "size", "prefix"],
+                 pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()),
+                 pa.array(firsts, pa.list_(pa.int64()))],
+                ["doc_id", "text_key", "node", "fp", "size", "prefix"],
             )
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), raw("text").alias("text"))
-    found = rows.mapInArrow(cut, "doc_id long, text_key long, node binary, size int, prefix array<long>")
+    found = rows.mapInArrow(cut, "doc_id long, text_key long, node binary, fp long, size int, prefix array<long>")
     return kept(found.withColumn("row", F.monotonically_increasing_id()), "prefixes")
 
 
@@ -134,33 +145,50 @@ def twins_of(prints: DataFrame) -> DataFrame:
     return kept(prints.select("row", "node").join(groups, "node").where("row <> rep").select("row", "rep"), "twins")
 
 
+def fingerprint_pairs(whole: DataFrame) -> DataFrame:
+    """src, dst: rows whose fingerprints are equal or linked; each to the first row of a fingerprint."""
+    prints = kept(whole.groupBy("fp").agg(F.min("row").alias("first")), "distinct-fingerprints")
+    one, other = (prints.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_row")) for end in ("src", "dst"))
+    linked = links(prints.select("fp")).join(one, "src").join(other, "dst").select(
+        F.greatest("src_row", "dst_row").alias("src"), F.least("src_row", "dst_row").alias("dst")
+    )
+    equal = whole.select("row", "fp").join(prints, "fp").where(F.col("row") != F.col("first"))
+    return linked.unionByName(equal.select(F.col("row").alias("src"), F.col("first").alias("dst")))
+
+
+def may_be_close(m: Column, n: Column, i: Column, j: Column, similarity: float) -> Column:
+    """Whether sets of sizes m and n whose first common shingle stands at i and j of their orders can be similar."""
+    rest = F.least(m - i, n - j)
+    return (F.least(m, n) >= similarity * F.greatest(m, n) - ROUNDING) & (
+        rest >= similarity / (1 + similarity) * (m + n) - ROUNDING
+    )
+
+
 def components(docs: DataFrame, prints: DataFrame, twins: DataFrame, width: int, similarity: float) -> DataFrame:
     """row, component of every row that is similar to another, twins aside."""
-    whole = without(prints.select("row", "size", "prefix"), "row", twins.select(F.col("row").alias("key")))
-    exploded = whole.select("row", "size", F.explode("prefix").alias("key"))
+    whole = without(prints.select("row", "fp", "size", "prefix"), "row", twins.select(F.col("row").alias("key")))
+    exploded = whole.select("row", "size", F.posexplode("prefix").alias("at", "key"))
     # most prefix shingles stand in one text: only their hashes travel to be counted
     shared = kept(exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared-keys")
     some = kept(marked(exploded, "maybe", F.col("key"), shared).where("maybe").drop("maybe"), "members")
-    crowds = some.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "size")).alias("least")).where("n > 1")
-    members = kept(some.join(crowds, "key").select("key", "row", "size", "least"), "prefix-members")
+    crowds = some.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "size", "at")).alias("least")).where("n > 1")
+    members = kept(some.join(crowds, "key").select("key", "row", "size", "at", "least"), "prefix-members")
     discard(some)
     discard(shared)
-    close = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - ROUNDING
-    stars = kept(
-        members.where(close(F.col("size"), F.col("least.size")) & (F.col("row") != F.col("least.row")))
-        .select(F.col("row").alias("src"), F.col("least.row").alias("dst")).distinct(),
-        "star-pairs",
-    )
+    least = [F.col(f"least.{c}") for c in ("size", "at")]
+    stars = members.where(may_be_close(F.col("size"), least[0], F.col("at"), least[1], similarity) & (F.col("row") != F.col("least.row")))
+    stars = stars.select(F.col("row").alias("src"), F.col("least.row").alias("dst"))
+    stars = kept(stars.unionByName(fingerprint_pairs(whole)).distinct(), "star-pairs")
     edges = similar(docs, prints, stars, width, similarity)
     linked = _components(edges)
     # what the stars left apart: pairs of one key in different components, not compared yet
-    placed = members.join(linked, "row", "left").select("key", "row", "size", F.coalesce("component", "row").alias("component"))
+    placed = members.join(linked, "row", "left").select("key", "row", "size", "at", F.coalesce("component", "row").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
     placed = kept(placed.join(mixed.select("key"), "key"), "mixed-members")
-    one = placed.select("key", F.col("row").alias("src"), F.col("size").alias("m"), F.col("component").alias("p"))
-    other = placed.select("key", F.col("row").alias("dst"), F.col("size").alias("n"), F.col("component").alias("q"))
+    one = placed.select("key", F.col("row").alias("src"), F.col("size").alias("m"), F.col("at").alias("i"), F.col("component").alias("p"))
+    other = placed.select("key", F.col("row").alias("dst"), F.col("size").alias("n"), F.col("at").alias("j"), F.col("component").alias("q"))
     pairs = one.join(other, "key").where((F.col("src") > F.col("dst")) & (F.col("p") != F.col("q")))
-    pairs = pairs.where(close(F.col("m"), F.col("n"))).select("src", "dst").distinct()
+    pairs = pairs.where(may_be_close(*[F.col(c) for c in "mnij"], similarity)).select("src", "dst").distinct()
     pairs = kept(pairs.join(stars, ["src", "dst"], "left_anti"), "other-pairs")
     if not pairs.isEmpty():
         more = similar(docs, prints, pairs, width, similarity)
