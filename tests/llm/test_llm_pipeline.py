@@ -50,3 +50,9 @@ def test_sizes_of_batches_are_only_filled_in(spark):
     finally:
         for k, value in before.items():
             spark.conf.set(k, value)
+
+
+def test_language_is_found_once_a_text(spark):
+    """A filter on the language must not bring a second evaluation, and a second Python worker a task."""
+    plan = corpus_pipeline.identify_language(spark, docs(spark), "")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1

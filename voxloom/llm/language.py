@@ -224,7 +224,8 @@ def keep_identified(docs: DataFrame) -> DataFrame:
         return pa.array(found, pa.string())
 
     guess = free_name(docs, "_lang")
+    # called nondeterministic, or the filter would get a second evaluation with workers of its own
     return (
-        docs.withColumn(guess, language(raw("text"))).where(~F.col(guess).eqNullSafe(UNKNOWN))
+        docs.withColumn(guess, language.asNondeterministic()(raw("text"))).where(~F.col(guess).eqNullSafe(UNKNOWN))
         .withColumn("lang", F.coalesce(F.col("lang"), F.col(guess))).drop(guess)
     )
