@@ -116,3 +116,63 @@ def test_fingerprints_propose_pairs(spark):
     ids = {r["row"]: r["doc_id"] for r in prints.collect()}
     found = {tuple(sorted((ids[r["src"]], ids[r["dst"]]))) for r in shingles.fingerprint_pairs(prints).collect()}
     assert found and found <= {(2 * i, 2 * i + 1) for i in range(6)}
+
+
+def crowd(rng, n, least, most, length=150):
+    """Texts that differ from one that is not among them in ``least`` to ``most`` of ``length`` words."""
+    base = " ".join(f"w{rng.randrange(5000)}" for _ in range(length))
+    return [changed(rng, base, rng.randint(least, most)) for _ in range(n)]
+
+
+def test_crowd_costs_few_comparisons(spark, monkeypatch):
+    """Copies of one text, which is among them; most are less similar to each other than the bound."""
+    rng, asked = random.Random(6), []
+    base = " ".join(f"w{rng.randrange(5000)}" for _ in range(150))
+    texts = [base if i == 300 else changed(rng, base, rng.randint(2, 5)) for i in range(400)]
+    data = [(i, text, "en", "s", 1) for i, text in enumerate(texts)]
+    similar = shingles.similar
+    monkeypatch.setattr(shingles, "similar", lambda d, p, pairs, *more: asked.append(pairs.count()) or similar(d, p, pairs, *more))
+    assert sorted(r["doc_id"] for r in stage(spark, data).collect()) == slow_kept(data)
+    assert 0 < sum(asked) < 8 * len(data)
+
+
+def test_parted_crowds_match_all_pairs(spark, monkeypatch):
+    """Crowds with passages in common and crowds in crowds, parted down to single pairs."""
+    rng, data = random.Random(7), []
+    for k in range(3):
+        passage = " ".join(f"p{k % 2}x{i}" for i in range(40))
+        for text in crowd(rng, 25, 3, 7, 90):
+            data.append((len(data), text + (" " + passage if rng.random() < 0.7 else ""), "en", "s", 1))
+            if rng.random() < 0.3:
+                data.append((len(data), changed(rng, data[-1][1], 2), "en", "s", 1))
+    expected = slow_kept(data)
+    assert 1 < len(expected) < len(data)
+    for limit, levels in ((2, 3), (8, 2)):
+        monkeypatch.setattr(shingles, "PAIR_LIMIT", limit)
+        monkeypatch.setattr(shingles, "PAIRS_A_ROW", 0)
+        monkeypatch.setattr(shingles, "LEVELS", levels)
+        assert sorted(r["doc_id"] for r in stage(spark, data).collect()) == expected
+
+
+def test_differences_reach_their_first_in_common():
+    """The first difference from a hub that two similar sets share stands in both prefixes and passes its positions."""
+    rng, seen = random.Random(10), 0
+    close = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    for _ in range(30000):
+        n = rng.randint(1, 24)
+        hub = set(rng.sample(range(40), n))
+        x = {s for s in hub if rng.random() < 0.8} | {rng.randrange(40) for _ in range(rng.randint(0, 6))}
+        y = {s for s in x if rng.random() < 0.95} | {rng.randrange(40) for _ in range(rng.randint(0, 2))}
+        if not x or not y or not close(x, y) or close(x, hub) and close(y, hub):
+            continue
+        one, other = (sorted(a ^ hub, key=lambda s: (s * 7 % 11 if s in hub else s * 5 % 11, s)) for a in (x, y))
+        first = next(s for s in one if s in set(other))
+        i, j, d, e = one.index(first), other.index(first), len(one), len(other)
+        near = [close(x, hub), close(y, hub)]
+        kind = 1 if not any(near) else 0
+        for at, own, size, is_near in ((i, d, len(x), near[0]), (j, e, len(y), near[1])):
+            with_hub, apart = shingles.reach(size, len(hub), own, is_near, 0.8)
+            assert at < (apart if kind or is_near else with_hub)
+        assert 18 * min(d - i, e - j) >= 9 * (d + e) - (len(x) + len(y))
+        seen += 1
+    assert seen > 300

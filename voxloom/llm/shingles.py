@@ -16,9 +16,16 @@ that one the shorter of the two rests must still hold as many (positional filter
 2008): a shingle that stands late in one of two prefixes brings no pair, and such are the frequent ones.
 
 Texts with equal sets take part as one.  Of the texts that share a prefix shingle each is first
-compared with the smallest only, so a crowd of near copies costs one comparison a member.
-Then all pairs that share a prefix shingle and are not yet in one component are compared:
-no pair is left out, whatever the crowd.
+compared with one only, the hub: that where the shingle stands first, which has the least that is
+rare, so a crowd of copies of one text meets at the copy nearest to it.  One comparison a member.
+Pairs that share a prefix shingle and are not yet in one component are left.  Up to ``PAIR_LIMIT``
+texts, all such pairs are compared; so are those of larger crowds, if they are not many for the number
+of rows.  Otherwise such a crowd is parted by what tells its texts from the hub h:
+with D = x without h and h without x, x and y differ in |Dx| + |Dy| - 2 |Dx & Dy| shingles, of which
+(1 - t) / (1 + t) (|x| + |y|) are allowed.  So similar texts share a part of their differences, and
+these have prefixes and positions as sets have (:func:`differences`); the sets are the differences
+from an empty hub.  The smaller crowds that share a difference get hubs of their own, and so on.  No
+pair is left out, whatever the crowd.
 
 What moves is small: hashes of prefix shingles to be counted, members of the shared ones, the
 texts of candidates.  Rows that bitmaps of fixed size tell apart (:func:`common.marked`) stay in
@@ -29,6 +36,7 @@ has one shingle, all its words.
 """
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -43,6 +51,11 @@ from voxloom.operators.graph import connected_components
 WIDTH, SIMILARITY = 5, 0.8
 CELLS = 1 << 20  # counts of shingles by hash, for the order only
 CHUNK = 1 << 16  # cells whose counts travel as one row
+PAIR_LIMIT = 64  # texts of one key that are compared in pairs
+PAIRS_A_ROW = 16  # so many pairs of larger crowds, by the number of all rows, are compared as well
+LEVELS = 8  # after so many hubs one in the other all pairs of a key are compared, however many
+NEAR, FAR, ALL = 0, 1, 2  # under one key rows of the first two meet the other, or all meet all
+EDGE = 2  # kind of a row of differences() that names a pair
 ROUNDING = 1e-9
 
 
@@ -76,11 +89,16 @@ def cell_counts(docs: DataFrame, width: int) -> np.ndarray:
     return cells
 
 
-def prefixes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+def shared_counts(docs: DataFrame, width: int):
+    """Broadcast of :func:`cell_counts`."""
+    counts = np.minimum(cell_counts(docs, width), np.iinfo(np.int32).max).astype(np.int32)
+    return docs.sparkSession.sparkContext.broadcast(counts)
+
+
+def prefixes(docs: DataFrame, width: int, similarity: float, shared=None) -> DataFrame:
     """row (a number), doc_id, text_key, node (digest of the shingle set), its fingerprint fp, size and
     prefix of every row."""
-    counts = np.minimum(cell_counts(docs, width), np.iinfo(np.int32).max).astype(np.int32)
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    shared = shared or shared_counts(docs, width)
 
     def cut(arrow):
         cells = shared.value
@@ -111,10 +129,9 @@ def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("src").alias("key")).unionByName(pairs.select(F.col("dst").alias("key"))).distinct()
 
 
-def similar(docs: DataFrame, prints: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those of ``pairs(src, dst)`` of row numbers whose shingle sets are similar enough; only the
-    texts of these rows are read again."""
-    asked = kept(only(prints.select("row", "doc_id", "text_key"), "row", ends(pairs)), "asked-rows")
+def shingles_of(docs: DataFrame, prints: DataFrame, keys: DataFrame, width: int) -> DataFrame:
+    """row, shingles of the row numbers ``keys(key)``; only the texts of these rows are read again."""
+    asked = kept(only(prints.select("row", "doc_id", "text_key"), "row", keys), "asked-rows")
 
     def sets(arrow):
         for batch, texts in text_batches(arrow):
@@ -126,6 +143,13 @@ def similar(docs: DataFrame, prints: DataFrame, pairs: DataFrame, width: int, si
     one, other = F.struct("told.doc_id", "told.text_key"), F.struct("asked.doc_id", "asked.text_key")
     texts = told.where("maybe").alias("told").join(asked.alias("asked"), one.eqNullSafe(other)).select("row", raw("text").alias("text"))
     found = kept(texts.mapInArrow(sets, "row long, shingles array<long>").dropDuplicates(["row"]), "shingles")
+    discard(asked)
+    return found
+
+
+def similar(docs: DataFrame, prints: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of ``pairs(src, dst)`` of row numbers whose shingle sets are similar enough."""
+    found = shingles_of(docs, prints, ends(pairs), width)
     left = found.select(F.col("row").alias("src"), F.col("shingles").alias("x"))
     right = found.select(F.col("row").alias("dst"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -135,7 +159,6 @@ def similar(docs: DataFrame, prints: DataFrame, pairs: DataFrame, width: int, si
         "similar",
     )
     discard(found)
-    discard(asked)
     return close
 
 
@@ -156,44 +179,175 @@ def fingerprint_pairs(whole: DataFrame) -> DataFrame:
     return linked.unionByName(equal.select(F.col("row").alias("src"), F.col("first").alias("dst")))
 
 
-def may_be_close(m: Column, n: Column, i: Column, j: Column, similarity: float) -> Column:
-    """Whether sets of sizes m and n whose first common shingle stands at i and j of their orders can be similar."""
-    rest = F.least(m - i, n - j)
+def may_be_close(m: Column, n: Column, i: Column, j: Column, similarity: float, d: Column | None = None, e: Column | None = None) -> Column:
+    """Whether sets of sizes m and n can be similar whose differences from a hub, of sizes d and e, have their
+    first common shingle at i and j of their orders; without d and e the sets themselves, the hub being empty."""
+    d, e = m if d is None else d, n if e is None else e
     return (F.least(m, n) >= similarity * F.greatest(m, n) - ROUNDING) & (
-        rest >= similarity / (1 + similarity) * (m + n) - ROUNDING
+        F.least(d - i, e - j) >= (d + e - (1 - similarity) / (1 + similarity) * (m + n)) / 2 - ROUNDING
+    )
+
+
+def reach(m: int, h: int, d: int, near: bool, similarity: float) -> tuple[int, int]:
+    """How many of the d differences of a set of size m from a hub of size h can hold the first that it
+    shares with a similar set of another component: with a set of the hub's component, with another.
+
+    Sizes of similar sets x and y have 1/t as their largest ratio and |Dy| >= |Dx| - |x ^ y|, so they share
+    |Dx| - (1 - t) / t |x| differences at least.  If y is not similar to the hub, |Dy| > c (|y| + |h|) with
+    c = (1 - t) / (1 + t), and they share more than (|Dx| + c (|h| - |x|)) / 2.  They share one in any
+    case: with none, both would be similar to the hub.
+    """
+    c = (1 - similarity) / (1 + similarity)
+    least = max(1, math.ceil(d - (1 - similarity) / similarity * m - ROUNDING))
+    apart = max(least, math.floor((d + c * (h - m)) / 2 + ROUNDING) + 1)
+    return (0 if near else max(0, d - least + 1)), max(0, d - apart + 1)
+
+
+def differences(spokes: DataFrame, found: DataFrame, shared, similarity: float) -> DataFrame:
+    """key, row, size, d, at, side: the first differences of each row from its hub, hashed with the hub;
+    and row, hub alone, with kind ``EDGE``, of rows found to be similar to it.
+
+    Rare differences come first: a shingle that the row has and the hub lacks is as frequent as in all texts,
+    of the others those are rare that most of the hub's rows have.  ``spokes(row, hub, near, rows)`` tells rows
+    of the hub's component and the number of the hub's rows.  Rows of other components (side ``FAR``) meet
+    such rows (``NEAR``) under one key, and each other (``ALL``) under another, where shorter prefixes do.
+    """
+
+    def cut(arrow):
+        cells = shared.value
+        for batch in arrow:
+            rows = [batch.column(c).to_pylist() for c in ("row", "hub", "near", "rows")]
+            xs, hs = batch.column("x"), batch.column("y")
+            out: tuple[list, ...] = ([], [], [], [], [], [], [], [])
+
+            def add(length, line, at, shingle):
+                for column, value in zip(out, line):
+                    column.extend([value] * length)
+                out[6].extend(at)
+                out[7].extend(shingle)
+
+            for k, (row, hub, near, n) in enumerate(zip(*rows)):
+                x, h = (c[k].values.to_numpy(zero_copy_only=False) for c in (xs, hs))
+                has, lacks = np.setdiff1d(x, h), np.setdiff1d(h, x)
+                told = np.concatenate((has, lacks))
+                many = cells[told & (CELLS - 1)].astype(np.int64)
+                many[len(has) :] = np.maximum(n - many[len(has) :], 0)
+                told = told[np.lexsort((told, many))]
+                if not near and len(x) - len(has) >= similarity * (len(h) + len(has)) - ROUNDING:
+                    near = True
+                    add(1, (row, hub, len(x), len(told), NEAR, EDGE), [None], [None])
+                with_hub, apart = reach(len(x), len(h), len(told), near, similarity)
+                # near rows meet only the others
+                for kind, length in ((0, apart if near else with_hub), (1, 0 if near else apart)):
+                    side = ALL if kind else NEAR if near else FAR
+                    add(length, (row, hub, len(x), len(told), side, kind), range(length), told[:length].tolist())
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+            names = ["row", "hub", "size", "d", "side", "kind", "at", "shingle"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
+
+    sets = spokes.join(found.select("row", F.col("shingles").alias("x")), "row")
+    sets = sets.join(found.select(F.col("row").alias("hub"), F.col("shingles").alias("y")), "hub")
+    told = sets.select("row", "hub", "near", "rows", "x", "y").mapInArrow(
+        cut, "row long, hub long, size int, d int, side int, kind int, at int, shingle long"
+    )
+    return told.select(F.xxhash64("hub", "kind", "shingle").alias("key"), "row", "size", "d", "at", "side", "kind", "hub")
+
+
+def with_hubs(some: DataFrame) -> DataFrame:
+    """``some(key, row, size, d, at, side)`` of keys that may bring a pair, with their number n and hub."""
+    crowds = some.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("at", "row", "size", "d", "side")).alias("hub"),
+        F.bool_or(F.col("side") != FAR).alias("any"),
+    )
+    return some.join(crowds.where("n > 1 and any").drop("any"), "key")
+
+
+def _meet(a: str, b: str) -> Column:
+    return (F.col(a) != F.col(b)) | (F.col(a) == ALL)
+
+
+def to_hubs(members: DataFrame, similarity: float) -> DataFrame:
+    """src, dst: each member and the hubs it may be similar to."""
+    close = may_be_close(
+        F.col("size"), F.col("hub.size"), F.col("at"), F.col("hub.at"), similarity, F.col("d"), F.col("hub.d")
     )
+    found = members.where(close & _meet("side", "hub.side") & (F.col("row") != F.col("hub.row")))
+    return found.select(F.greatest("row", "hub.row").alias("src"), F.least("row", "hub.row").alias("dst"))
+
+
+def in_pairs(placed: DataFrame, similarity: float) -> DataFrame:
+    """src, dst: rows that share a key, are in different components and may be similar."""
+    columns = ("row", "size", "d", "at", "component", "side")
+    one = placed.select("key", *[F.col(c).alias(n) for c, n in zip(columns, ("src", "m", "d", "i", "p", "s"))])
+    other = placed.select("key", *[F.col(c).alias(n) for c, n in zip(columns, ("dst", "n", "e", "j", "q", "t"))])
+    pairs = one.join(other, "key").where((F.col("src") > F.col("dst")) & (F.col("p") != F.col("q")) & _meet("s", "t"))
+    m, n, i, j, d, e = (F.col(c) for c in "mnijde")
+    return pairs.where(may_be_close(m, n, i, j, similarity, d, e)).select("src", "dst")
+
+
+def apart(pairs: DataFrame, linked: DataFrame) -> DataFrame:
+    """Those of ``pairs(src, dst)`` that are in different components."""
+    for end, name in (("src", "p"), ("dst", "q")):
+        pairs = pairs.join(linked.select(F.col("row").alias(end), F.col("component").alias(name)), end, "left")
+    return pairs.where(F.coalesce("p", "src") != F.coalesce("q", "dst")).select("src", "dst")
 
 
-def components(docs: DataFrame, prints: DataFrame, twins: DataFrame, width: int, similarity: float) -> DataFrame:
+def components(docs: DataFrame, prints: DataFrame, twins: DataFrame, shared, width: int, similarity: float) -> DataFrame:
     """row, component of every row that is similar to another, twins aside."""
     whole = without(prints.select("row", "fp", "size", "prefix"), "row", twins.select(F.col("row").alias("key")))
     exploded = whole.select("row", "size", F.posexplode("prefix").alias("at", "key"))
     # most prefix shingles stand in one text: only their hashes travel to be counted
-    shared = kept(exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared-keys")
-    some = kept(marked(exploded, "maybe", F.col("key"), shared).where("maybe").drop("maybe"), "members")
-    crowds = some.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "size", "at")).alias("least")).where("n > 1")
-    members = kept(some.join(crowds, "key").select("key", "row", "size", "at", "least"), "prefix-members")
+    common = kept(exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared-keys")
+    some = kept(marked(exploded, "maybe", F.col("key"), common).where("maybe").drop("maybe"), "members")
+    members = kept(with_hubs(some.withColumn("d", F.col("size")).withColumn("side", F.lit(ALL))), "prefix-members")
     discard(some)
-    discard(shared)
-    least = [F.col(f"least.{c}") for c in ("size", "at")]
-    stars = members.where(may_be_close(F.col("size"), least[0], F.col("at"), least[1], similarity) & (F.col("row") != F.col("least.row")))
-    stars = stars.select(F.col("row").alias("src"), F.col("least.row").alias("dst"))
-    stars = kept(stars.unionByName(fingerprint_pairs(whole)).distinct(), "star-pairs")
-    edges = similar(docs, prints, stars, width, similarity)
-    linked = _components(edges)
-    # what the stars left apart: pairs of one key in different components, not compared yet
-    placed = members.join(linked, "row", "left").select("key", "row", "size", "at", F.coalesce("component", "row").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
-    placed = kept(placed.join(mixed.select("key"), "key"), "mixed-members")
-    one = placed.select("key", F.col("row").alias("src"), F.col("size").alias("m"), F.col("at").alias("i"), F.col("component").alias("p"))
-    other = placed.select("key", F.col("row").alias("dst"), F.col("size").alias("n"), F.col("at").alias("j"), F.col("component").alias("q"))
-    pairs = one.join(other, "key").where((F.col("src") > F.col("dst")) & (F.col("p") != F.col("q")))
-    pairs = pairs.where(may_be_close(*[F.col(c) for c in "mnij"], similarity)).select("src", "dst").distinct()
-    pairs = kept(pairs.join(stars, ["src", "dst"], "left_anti"), "other-pairs")
-    if not pairs.isEmpty():
-        more = similar(docs, prints, pairs, width, similarity)
-        linked = linked if more.isEmpty() else _components(edges.unionByName(more))
-    for used in (members, stars, placed, pairs, edges):
+    discard(common)
+    asked = kept(to_hubs(members, similarity).unionByName(fingerprint_pairs(whole)).distinct(), "star-pairs")
+    rows, compared, edges = prints.count(), [asked], [similar(docs, prints, asked, width, similarity)]
+    linked = _components(edges[0])
+    for level in range(LEVELS):
+        known = len(edges)
+        # what the hubs left apart: pairs of one key in different components, not compared yet
+        placed = members.join(linked, "row", "left").withColumn("component", F.coalesce("component", "row"))
+        others = placed.where(F.col("row") != F.col("hub.row")).groupBy("key").agg(
+            F.min("component").alias("a"), F.max("component").alias("b")
+        )
+        mixed = kept(placed.join(others.where("a <> b").select("key"), "key"), "mixed-members")
+        discard(members)
+        large = F.col("n") > PAIR_LIMIT
+        crowded = mixed.where(large)
+        work = crowded.agg(F.sum("n")).first()[0] or 0  # a crowd's members each meet all of it
+        more = level + 1 < LEVELS and work > PAIRS_A_ROW * rows
+        pairs = in_pairs(mixed.where(~large) if more else mixed, similarity)
+        if more:
+            spokes = crowded.where(F.col("row") != F.col("hub.row")).select("row", F.col("hub.row").alias("hub"), "component").distinct()
+            roots = linked.select(F.col("row").alias("hub"), F.col("component").alias("root"))
+            sizes = spokes.groupBy("hub").agg(F.count(F.lit(1)).alias("rows"))
+            spokes = kept(spokes.join(sizes, "hub").join(roots, "hub", "left").select(
+                "row", "hub", (F.col("component") == F.coalesce("root", "hub")).alias("near"), "rows"
+            ), "spokes")
+            keys = spokes.select(F.col("row").alias("key")).unionByName(spokes.select(F.col("hub").alias("key"))).distinct()
+            found = shingles_of(docs, prints, keys, width)
+            told = kept(differences(spokes, found, shared, similarity), "differences")
+            members = kept(with_hubs(told.where(F.col("kind") != EDGE).drop("kind", "hub")), "difference-members")
+            edges.append(kept(told.where(F.col("kind") == EDGE).select(
+                F.greatest("row", "hub").alias("src"), F.least("row", "hub").alias("dst")
+            ), "hub-edges"))
+            for used in (spokes, found, told):
+                discard(used)
+            pairs = pairs.unionByName(apart(to_hubs(members, similarity).distinct(), linked))
+        for before in compared:
+            pairs = pairs.join(before, ["src", "dst"], "left_anti")
+        pairs = kept(pairs.distinct(), "other-pairs")
+        discard(mixed)
+        if not pairs.isEmpty():
+            edges.append(similar(docs, prints, pairs, width, similarity))
+        if any(not e.isEmpty() for e in edges[known:]):
+            linked = _components(reduce(DataFrame.unionByName, edges))
+        compared.append(pairs)
+        if not more:
+            break
+    for used in (*compared, *edges):
         discard(used)
     return linked
 
@@ -206,9 +360,10 @@ def _components(edges: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each group that similar pairs connect: the one with the smallest doc_id
     (ids that are null come last, rows with that id by their text's hash)."""
-    prints = prefixes(docs, width, similarity)
+    shared = shared_counts(docs, width)
+    prints = prefixes(docs, width, similarity, shared)
     twins = twins_of(prints)
-    linked = components(docs, prints, twins, width, similarity)
+    linked = components(docs, prints, twins, shared, width, similarity)
     rows = prints.select("row", "doc_id", "text_key").join(twins, "row", "left")
     rows = rows.withColumn("row", F.coalesce("rep", "row")).join(linked, "row", "left")
     found = kept(rows.select(F.coalesce("component", "row").alias("group"), "doc_id", "text_key"), "shingle-groups")
