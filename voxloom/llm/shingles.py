@@ -53,7 +53,7 @@ CELLS = 1 << 20  # counts of shingles by hash, for the order only
 CHUNK = 1 << 16  # cells whose counts travel as one row
 PAIR_LIMIT = 64  # texts of one key that are compared in pairs
 PAIRS_A_ROW = 16  # so many pairs of larger crowds, by the number of all rows, are compared as well
-LEVELS = 8  # after so many hubs one in the other all pairs of a key are compared, however many
+LEVELS = 3  # after so many hubs one in the other all pairs of a key are compared, however many
 NEAR, FAR, ALL = 0, 1, 2  # under one key rows of the first two meet the other, or all meet all
 EDGE = 2  # kind of a row of differences() that names a pair
 ROUNDING = 1e-9
@@ -207,16 +207,16 @@ def differences(spokes: DataFrame, found: DataFrame, shared, similarity: float)
     """key, row, size, d, at, side: the first differences of each row from its hub, hashed with the hub;
     and row, hub alone, with kind ``EDGE``, of rows found to be similar to it.
 
-    Rare differences come first: a shingle that the row has and the hub lacks is as frequent as in all texts,
-    of the others those are rare that most of the hub's rows have.  ``spokes(row, hub, near, rows)`` tells rows
-    of the hub's component and the number of the hub's rows.  Rows of other components (side ``FAR``) meet
-    such rows (``NEAR``) under one key, and each other (``ALL``) under another, where shorter prefixes do.
+    What the row has and the hub lacks comes first, rare shingles first; of what it lacks, that which
+    most texts have.  ``spokes(row, hub, near)`` tells rows of the hub's component.  Rows of others (side
+    ``FAR``) meet such rows (``NEAR``) under one key, and each other (``ALL``) under another, where shorter
+    prefixes do.
     """
 
     def cut(arrow):
         cells = shared.value
         for batch in arrow:
-            rows = [batch.column(c).to_pylist() for c in ("row", "hub", "near", "rows")]
+            rows = [batch.column(c).to_pylist() for c in ("row", "hub", "near")]
             xs, hs = batch.column("x"), batch.column("y")
             out: tuple[list, ...] = ([], [], [], [], [], [], [], [])
 
@@ -226,13 +226,13 @@ def differences(spokes: DataFrame, found: DataFrame, shared, similarity: float)
                 out[6].extend(at)
                 out[7].extend(shingle)
 
-            for k, (row, hub, near, n) in enumerate(zip(*rows)):
+            for k, (row, hub, near) in enumerate(zip(*rows)):
                 x, h = (c[k].values.to_numpy(zero_copy_only=False) for c in (xs, hs))
                 has, lacks = np.setdiff1d(x, h), np.setdiff1d(h, x)
                 told = np.concatenate((has, lacks))
                 many = cells[told & (CELLS - 1)].astype(np.int64)
-                many[len(has) :] = np.maximum(n - many[len(has) :], 0)
-                told = told[np.lexsort((told, many))]
+                many[len(has) :] *= -1
+                told = told[np.lexsort((told, many, np.arange(len(told)) >= len(has)))]
                 if not near and len(x) - len(has) >= similarity * (len(h) + len(has)) - ROUNDING:
                     near = True
                     add(1, (row, hub, len(x), len(told), NEAR, EDGE), [None], [None])
@@ -247,7 +247,7 @@ def differences(spokes: DataFrame, found: DataFrame, shared, similarity: float)
 
     sets = spokes.join(found.select("row", F.col("shingles").alias("x")), "row")
     sets = sets.join(found.select(F.col("row").alias("hub"), F.col("shingles").alias("y")), "hub")
-    told = sets.select("row", "hub", "near", "rows", "x", "y").mapInArrow(
+    told = sets.select("row", "hub", "near", "x", "y").mapInArrow(
         cut, "row long, hub long, size int, d int, side int, kind int, at int, shingle long"
     )
     return told.select(F.xxhash64("hub", "kind", "shingle").alias("key"), "row", "size", "d", "at", "side", "kind", "hub")
@@ -322,9 +322,8 @@ def components(docs: DataFrame, prints: DataFrame, twins: DataFrame, shared, wid
         if more:
             spokes = crowded.where(F.col("row") != F.col("hub.row")).select("row", F.col("hub.row").alias("hub"), "component").distinct()
             roots = linked.select(F.col("row").alias("hub"), F.col("component").alias("root"))
-            sizes = spokes.groupBy("hub").agg(F.count(F.lit(1)).alias("rows"))
-            spokes = kept(spokes.join(sizes, "hub").join(roots, "hub", "left").select(
-                "row", "hub", (F.col("component") == F.coalesce("root", "hub")).alias("near"), "rows"
+            spokes = kept(spokes.join(roots, "hub", "left").select(
+                "row", "hub", (F.col("component") == F.coalesce("root", "hub")).alias("near")
             ), "spokes")
             keys = spokes.select(F.col("row").alias("key")).unionByName(spokes.select(F.col("hub").alias("key"))).distinct()
             found = shingles_of(docs, prints, keys, width)
