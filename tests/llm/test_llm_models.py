@@ -79,6 +79,38 @@ def test_rarer_words_take_the_class_of_their_contexts(spark, monkeypatch):
     assert found[0].most_common(1)[0][0] != found[1].most_common(1)[0][0]
 
 
+def test_rarest_words_take_the_class_of_their_contexts(spark, monkeypatch):
+    """Words too rare or too long for the broadcast: the join gives them own classes, not their ending's."""
+    monkeypatch.setattr(brown_lm, "UNIT_SHARE", 40)
+    monkeypatch.setattr(brown_lm, "BROADCAST_SHARE", 60)
+    monkeypatch.setattr(brown_lm, "CLASSES", 4)
+    monkeypatch.setattr(brown_lm, "CHUNK_BYTES", 2000)  # contexts of a word meet from many chunks
+    rng, data = random.Random(6), []
+    tail = lambda i: "x" * (60 * (i % 2)) + "same"
+    nouns, verbs = [f"noun{i:02d}{tail(i)}" for i in range(12)], [f"verb{i:02d}{tail(i)}" for i in range(12)]
+    pick = lambda common, rare: rng.choice(common if rng.random() < 0.6 else rare)
+    for i in range(600):
+        text = " ".join(
+            f"{rng.choice(['the', 'a'])} {pick(['dog', 'cat', 'cow'], nouns)} {pick(['runs', 'sees', 'eats'], verbs)}" for _ in range(6)
+        )
+        data.append((i, text, "en", "s", 1))
+    frame = docs(spark, data)
+    model, counts = brown_lm.train_model(frame)
+    assert max(map(len, nouns)) > brown_lm.LONGEST and not {w.encode() for w in nouns + verbs} & set(model.units)
+    found = [{int(model.classes[model.units[w.encode()]]) for w in group} for group in (nouns, verbs)]
+    assert len(found[0]) == len(found[1]) == 1 and found[0] != found[1]
+    own = Counter(w.decode() for i, t, *_ in data if fold(i, 5) != 1 for w in words(t))
+    assert {(bytes(r["word"]).decode(), r["n"]) for r in counts.collect()} == {(w, own[w]) for w in nouns + verbs}
+    # other rows than the model's own take the same way, unknown words included
+    ours = {r["doc_id"]: r for r in brown_lm.score_documents(frame, model, counts).collect()}
+    other = brown_lm.score_documents(docs(spark, data + [(600, "the unseen word", "en", "s", 1)]), model, counts)
+    for r in other.where("doc_id < 600").collect():
+        assert (r["n_tokens"], r["n_known"]) == (ours[r["doc_id"]]["n_tokens"], ours[r["doc_id"]]["n_known"])
+        assert r["score"] == pytest.approx(ours[r["doc_id"]]["score"], abs=1e-8)
+    last = other.where("doc_id = 600").first()
+    assert (last["n_tokens"], last["n_known"]) == (4, 2) and math.isfinite(last["score"])
+
+
 def test_endings_are_characters():
     units = brown_lm.Units({b"a": 0})
     for one, other in (("зимний", "летний"), ("你好世界", "他好世界"), ("abc", "xabc"), ("é", "é")):

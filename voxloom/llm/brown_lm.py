@@ -12,24 +12,32 @@ largest gain in likelihood, every count following every move, until under ``SETT
 
 Then the rarer words with at least one token in ``BROADCAST_SHARE`` leave their ending: with
 the classes fixed, Spark sums how often each stands before and after each class, and each goes
-to the class that makes its own contexts likeliest, ``REFINED`` times.  Only what is rarer still
-keeps its ending.
+to the class that makes its own contexts likeliest, ``REFINED`` times.  These words (so at most
+that many, of at most ``LONGEST`` bytes) reach the tasks as a broadcast.
 
-Scoring needs the count of every word.  Words with at least one token in
-``BROADCAST_SHARE`` (so at most that many, of at most ``LONGEST`` bytes) reach the tasks as
-a broadcast; all others are joined by word, no such key being frequent.
+All other training words, however rare or long, get the class of their own contexts too, by a
+shuffle: texts are written as chunks that name each such word once, the contexts of a word from
+all chunks meet, and its count and class go back to the chunks by a join.  A context counts a rare
+neighbour by its ending; the ending's class counts ``TRUST_ENDING`` nats, which few contexts
+outweigh only if they agree.  A word brings at most one row a chunk, so no key is hot.  Class
+bigrams and scores are then those of every word's own class.  Only words that no training text
+holds, which have no contexts, have the class of their ending.
 
 Null texts are empty: one end token.  Null ids never train on purpose (their fold is
 unknown).  Repeated rows count as often as they stand.  Without training text every score
 is that of an empty model.
 """
 
+import math
 import zlib
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voxloom.llm.common import discard, kept, raw, text_batches, words_of
@@ -44,11 +52,17 @@ SWEEPS = 30  # at most
 SETTLED = 0.01  # a sweep that moves a smaller share of the units is the last
 REFINED = 2
 TRUST_CLASSES = 20.0  # weight of the class frequencies when transitions are smoothed
+TRUST_ENDING = 2.0
 ADDED = 0.5
 END = b""  # no word is empty
 FLUSH = 400_000  # distinct words a task counts before it passes them on
 CHUNK = 64  # units whose followers one task adds up
 GROUP = 4096  # words that one task gives their classes
+CHUNK_BYTES = 1 << 21  # of text; a longer text is a chunk
+# chunks are long rows: row groups of few of them
+CHUNK_FILES = {"parquet.block.size": 1 << 24, "parquet.block.size.row.check.min": 4}
+TRAINING = ("train", "lengths", "numbers", "endings")  # what training reads of a chunk
+LOOKED_UP = 100_000  # words a driver remembers
 
 
 def held_out(doc_id: Column) -> Column:
@@ -56,6 +70,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold == HELD_OUT, F.lit(False))
 
 
+def training(doc_id: Column) -> Column:
+    return doc_id.isNotNull() & ~held_out(doc_id)
+
+
 def tokens_of(text: bytes) -> list[bytes]:
     return [*words_of(text.lower()), END]
 
@@ -82,36 +100,105 @@ def word_counts(train: DataFrame) -> DataFrame:
     return kept(partial.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
 
 
+def ending(word: bytes) -> int:
+    last = word[-12:].decode("utf-8", "ignore")[-3:]  # three characters are 12 bytes at most
+    return zlib.crc32(last.encode()) & (ENDINGS - 1)
+
+
 class Units(dict):
     """Word to number: frequent words have their own, others one of ``ENDINGS`` after them."""
 
     def __missing__(self, word: bytes) -> int:
-        ending = word[-12:].decode("utf-8", "ignore")[-3:]  # three characters are 12 bytes at most
-        return len(self) + (zlib.crc32(ending.encode()) & (ENDINGS - 1))
+        return len(self) + ending(word)
 
 
-def unit_arrays(train: DataFrame, units) -> DataFrame:
-    """The training texts as arrays of units, written once."""
+class Words(Units):
+    """Numbers of all words; after the endings' come ``CLASSES`` numbers, one a class, for the words
+    in ``table(word, n, class)``, which are looked up one by one."""
 
-    def number(arrow):
-        of = units.value.__getitem__
-        for _, texts in text_batches(arrow):
-            rows = [np.fromiter(map(of, tokens_of(t)), np.int32) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], ["units"])
+    def __init__(self, units: Units, table: DataFrame):
+        super().__init__(units)
+        self.table, self.seen = table, {}
+
+    def __missing__(self, word: bytes) -> int:
+        if word not in self.seen:
+            if len(self.seen) >= LOOKED_UP:
+                self.seen.clear()
+            row = self.table.where(F.col("word") == F.lit(bytearray(word))).first()
+            self.seen[word] = super().__missing__(word) if row is None else len(self) + ENDINGS + row["class"]
+        return self.seen[word]
+
+
+class Slots(dict):
+    """Numbers for words in the order they come."""
 
-    return kept(train.select(raw("text").alias("text")).mapInArrow(number, "units array<int>"), "unit-arrays")
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = len(self)
+        return found
+
+
+def text_chunks(docs: DataFrame, units) -> DataFrame:
+    """The texts as arrays of numbers, written once; a row holds a chunk of texts.
 
+    Numbers from ``len(units)`` on stand for the chunk's own ``words``, the rare ones; ``endings``
+    has the unit of each.
+    """
 
-def neighbours(arrow, end: int):
-    """Batches of units and of the units right before them."""
+    def number(arrow):
+        of, part = units.value, TaskContext.get().partitionId()
+        first = len(of)
+        for i, (batch, texts) in enumerate(text_batches(arrow, CHUNK_BYTES)):
+            tokens, lengths, slots = [], [], Slots()
+            for text in texts:
+                found = tokens_of(text)
+                tokens += found
+                lengths.append(len(found))
+            numbers = np.fromiter(map(of.get, tokens, repeat(-1)), np.int32, len(tokens))
+            rare = np.flatnonzero(numbers < 0)
+            numbers[rare] = np.fromiter((slots[tokens[at]] + first for at in rare.tolist()), np.int32, len(rare))
+            row = (
+                part << 32 | i, batch.column("doc_id").to_pylist(), batch.column("train").to_pylist(), lengths,
+                numbers.tobytes(), list(slots), np.fromiter(map(of.__missing__, slots), np.int32, len(slots)).tobytes(),
+            )
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.binary()), pa.binary())
+            names = ["chunk", "doc_ids", "train", "lengths", "numbers", "words", "endings"]
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, kinds)], names)
+
+    texts = docs.select("doc_id", training(F.col("doc_id")).alias("train"), raw("text").alias("text"))
+    schema = "chunk long, doc_ids array<long>, train array<boolean>, lengths array<int>, numbers binary, words array<binary>, endings binary"
+    return kept(texts.mapInArrow(number, schema), "text-chunks", **CHUNK_FILES)
+
+
+def chunk_numbers(chunk: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of a chunk's tokens, the units of its own words, and the lengths of its texts."""
+    return (np.frombuffer(chunk["numbers"], np.int32), np.frombuffer(chunk["endings"], np.int32),
+            np.array(chunk["lengths"], np.int64))
+
+
+def units_of(numbers: np.ndarray, endings: np.ndarray, first: int) -> np.ndarray:
+    units, rare = numbers.astype(np.int64), numbers >= first
+    units[rare] = endings[numbers[rare] - first]
+    return units
+
+
+def training_numbers(arrow):
+    """Chunk by chunk the rows, the numbers of the training tokens and the units of the rare words."""
     for batch in arrow:
-        flat = batch.column("units").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        if len(flat):
+        for chunk in batch.to_pylist():
+            numbers, endings, lengths = chunk_numbers(chunk)
+            yield chunk, numbers[np.repeat(np.array(chunk["train"], bool), lengths)], endings
+
+
+def neighbours(arrow, first: int, end: int):
+    """Arrays of units and of the units right before them."""
+    for _, numbers, endings in training_numbers(arrow):
+        if len(numbers):
             # every text ends with the end unit, so the unit before a text's first is the end
+            flat = units_of(numbers, endings, first)
             yield flat, np.concatenate(([end], flat[:-1]))
 
 
-def summed_codes(arrays: DataFrame, codes_of, width: int, end: int) -> DataFrame:
+def summed_codes(chunks: DataFrame, codes_of, width: int, first: int, end: int) -> DataFrame:
     """chunk, codes, counts: how often ``codes_of(units, units before)`` gives each code, by task
     and chunk of ``width`` codes."""
 
@@ -121,7 +208,7 @@ def summed_codes(arrays: DataFrame, codes_of, width: int, end: int) -> DataFrame
 
     def count(arrow):
         codes, counts, pending = [], [], 0
-        for here, left in neighbours(arrow, end):
+        for here, left in neighbours(arrow, first, end):
             for part in codes_of(here, left):
                 keys, n = np.unique(part, return_counts=True)
                 codes.append(keys)
@@ -142,7 +229,7 @@ def summed_codes(arrays: DataFrame, codes_of, width: int, end: int) -> DataFrame
                     ["chunk", "codes", "counts"],
                 )
 
-    return arrays.mapInArrow(count, "chunk long, codes binary, counts binary")
+    return chunks.select(*TRAINING).mapInArrow(count, "chunk long, codes binary, counts binary")
 
 
 def added_up(frame: pd.DataFrame, width: int) -> tuple[int, np.ndarray]:
@@ -153,34 +240,40 @@ def added_up(frame: pd.DataFrame, width: int) -> tuple[int, np.ndarray]:
     return chunk, total
 
 
-def unit_pairs(arrays: DataFrame, coarse: np.ndarray, end: int) -> np.ndarray:
+def unit_pairs(chunks: DataFrame, coarse: np.ndarray, first: int, end: int) -> np.ndarray:
     """pairs[u, v]: how often unit v stands right after unit u; ``coarse`` gives the unit that
-    clustering moves for each number in ``arrays``."""
-    shared, n = arrays.sparkSession.sparkContext.broadcast(coarse.astype(np.int64)), int(coarse.max()) + 1
+    clustering moves for each unit in ``chunks``."""
+    shared, n = chunks.sparkSession.sparkContext.broadcast(coarse.astype(np.int64)), int(coarse.max()) + 1
     rows, width = CHUNK, CHUNK * n
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         chunk, total = added_up(frame, width)
         return pd.DataFrame({"chunk": [chunk], "counts": [total.tobytes()]})
 
-    found = summed_codes(arrays, lambda here, left: [shared.value[left] * n + shared.value[here]], width, end)
+    found = summed_codes(chunks, lambda here, left: [shared.value[left] * n + shared.value[here]], width, first, end)
     pairs = np.zeros((-(-n // rows) * rows, n))
     for row in found.groupBy("chunk").applyInPandas(add, "chunk long, counts binary").collect():  # units x units
         pairs[row["chunk"] * rows : (row["chunk"] + 1) * rows] = np.frombuffer(row["counts"], np.int64).reshape(rows, n)
     return pairs[:n]
 
 
-def likeliest(left: np.ndarray, right: np.ndarray, follow: np.ndarray) -> np.ndarray:
+def likeliest(
+    left: np.ndarray, right: np.ndarray, follow: np.ndarray, expected: np.ndarray | None = None, trust: float = 0.0,
+) -> np.ndarray:
     """Class of each word by its counts after (``left``) and before (``right``) each class, with
-    ``follow[c, d]`` fixed: what makes the word and its neighbours likeliest."""
-    to = np.log((follow + ADDED) / (follow.sum(axis=1, keepdims=True) + ADDED * CLASSES))
-    own = np.log(follow.sum(axis=0) + ADDED * CLASSES)  # the word's share of its class falls with the class
-    return (right @ to.T + left @ (to - own)).argmax(axis=1)
+    ``follow[c, d]`` fixed: what makes the word and its neighbours likeliest.  The ``expected``
+    class is ahead by ``trust``."""
+    to = np.log((follow + ADDED) / (follow.sum(axis=1, keepdims=True) + ADDED * len(follow)))
+    own = np.log(follow.sum(axis=0) + ADDED * len(follow))  # the word's share of its class falls with the class
+    gain = right @ to.T + left @ (to - own)
+    if expected is not None:
+        gain[np.arange(len(gain)), expected] += trust
+    return gain.argmax(axis=1)
 
 
-def own_classes(arrays: DataFrame, classes: np.ndarray, follow: np.ndarray, words: range, end: int) -> np.ndarray:
+def own_classes(chunks: DataFrame, classes: np.ndarray, follow: np.ndarray, words: range, end: int) -> np.ndarray:
     """Classes of the words with these numbers by their own contexts; ``classes`` has the class of every number."""
-    shared, k = arrays.sparkSession.sparkContext.broadcast((classes.astype(np.int64), follow)), CLASSES
+    shared, k = chunks.sparkSession.sparkContext.broadcast((classes.astype(np.int64), follow)), CLASSES
     first, last, group = words.start, words.stop, GROUP
     width = group * 2 * k  # of each word the classes before it, then those after it
 
@@ -196,29 +289,147 @@ def own_classes(arrays: DataFrame, classes: np.ndarray, follow: np.ndarray, word
         return pd.DataFrame({"chunk": [chunk], "classes": [best.tobytes()]})
 
     found = classes[first:last].copy()
-    parts = summed_codes(arrays, codes_of, width, end)
+    parts = summed_codes(chunks, codes_of, width, last, end)
     for row in parts.groupBy("chunk").applyInPandas(choose, "chunk long, classes binary").collect():  # a number a word
         at = row["chunk"] * group
         found[at : at + group] = np.frombuffer(row["classes"], np.int64)[: len(found) - at]
     return found
 
 
-def class_bigrams(arrays: DataFrame, classes: np.ndarray, end: int) -> np.ndarray:
-    """follow[c, d]: how often a word of class d stands right after one of class c."""
-    shared, k = arrays.sparkSession.sparkContext.broadcast(classes.astype(np.int64)), CLASSES
+def class_bigrams(chunks: DataFrame, classes: np.ndarray, first: int, end: int) -> np.ndarray:
+    """follow[c, d]: how often a unit of class d stands right after one of class c."""
+    shared = chunks.sparkSession.sparkContext.broadcast(classes.astype(np.int64))
+    pairs = lambda arrow: ((shared.value[here], shared.value[left]) for here, left in neighbours(arrow, first, end))
+    return counted_pairs(chunks.select(*TRAINING), pairs)
+
+
+def counted_pairs(rows: DataFrame, pairs_of) -> np.ndarray:
+    """follow[c, d] of the arrays of classes, and of the classes before them, that ``pairs_of`` finds."""
+    k = CLASSES
 
     def count(arrow):
         total = np.zeros(k * k, np.int64)
-        for here, left in neighbours(arrow, end):
-            total += np.bincount(shared.value[left] * k + shared.value[here], minlength=k * k)
+        for here, left in pairs_of(arrow):
+            total += np.bincount(left * k + here, minlength=k * k)
         yield pa.RecordBatch.from_arrays([pa.array(range(k * k)), pa.array(total)], ["pair", "n"])
 
     follow = np.zeros(k * k)
-    for row in arrays.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+    for row in rows.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
         follow[row["pair"]] = row["n"]
     return follow.reshape(k, k)
 
 
+def _slices(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Binary values: ``data`` cut at ``cuts``."""
+    offsets = (cuts * data.itemsize).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def rare_contexts(chunks: DataFrame, classes: np.ndarray, first: int, end: int) -> DataFrame:
+    """word, codes, counts: how often a rare word of a chunk stands, in training texts, between which classes."""
+    shared, k = chunks.sparkSession.sparkContext.broadcast(classes.astype(np.int64)), CLASSES
+
+    def count(arrow):
+        for chunk, numbers, endings in training_numbers(arrow):
+            at = np.flatnonzero(numbers >= first)
+            if not len(at):
+                continue
+            of = shared.value[units_of(numbers, endings, first)]
+            # a text ends with the end, so a rare word is never last
+            left = np.where(at > 0, of[at - 1], shared.value[end])
+            keys, n = np.unique(((numbers[at] - first).astype(np.int64) * k + left) * k + of[at + 1], return_counts=True)
+            slots = keys // (k * k)
+            starts = np.concatenate(([0], np.flatnonzero(np.diff(slots)) + 1))
+            cuts = np.concatenate((starts, [len(keys)]))
+            words = pa.array(chunk["words"], pa.binary()).take(pa.array(slots[starts]))
+            yield pa.RecordBatch.from_arrays(
+                [words, _slices((keys % (k * k)).astype(np.int32), cuts), _slices(n.astype(np.int32), cuts)], ["word", "codes", "counts"]
+            )
+
+    return chunks.select(*TRAINING, "words").mapInArrow(count, "word binary, codes binary, counts binary")
+
+
+def rare_words(chunks: DataFrame, classes: np.ndarray, follow: np.ndarray, first: int, end: int) -> DataFrame:
+    """word, n, class of every training word that is not among the first, by its own contexts."""
+    shared, k, trust = chunks.sparkSession.sparkContext.broadcast((classes.astype(np.int64), follow)), CLASSES, TRUST_ENDING
+
+    def choose(words: list[bytes], total: np.ndarray):
+        units = np.fromiter((first + ending(w) for w in words), np.int64, len(words))
+        found = likeliest(total[:, 0], total[:, 1], shared.value[1], shared.value[0][units], trust)
+        n = total[:, 0].sum(axis=1).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n), pa.array(found.astype(np.int32))], ["word", "n", "class"])
+
+    def meet(arrow):
+        last, total = [], np.zeros((1, 2, k))  # of the word that may go on in the next batch
+        for batch in arrow:
+            column = batch.column("word")
+            if not len(column):
+                continue
+            starts = np.concatenate(([True], pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)))
+            sizes = pc.binary_length(batch.column("codes")).to_numpy(zero_copy_only=False) // 4
+            codes, counts = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32) for c in ("codes", "counts"))
+            words = column.filter(pa.array(starts)).to_pylist()
+            own = np.repeat(np.cumsum(starts) - 1, sizes) * k
+            sums = [np.bincount(own + side, weights=counts, minlength=len(words) * k).reshape(-1, k) for side in (codes // k, codes % k)]
+            sums = np.stack(sums, axis=1)
+            if last == words[:1]:
+                sums[0] += total[0]
+            elif last:
+                yield choose(last, total)
+            if len(words) > 1:
+                yield choose(words[:-1], sums[:-1])
+            last, total = words[-1:], sums[-1:].copy()
+        if last:
+            yield choose(last, total)
+
+    sorted_words = rare_contexts(chunks, classes, first, end).repartition("word").sortWithinPartitions("word")
+    return kept(sorted_words.mapInArrow(meet, "word binary, n long, class int"), "rare-words")
+
+
+def class_arrays(chunks: DataFrame, table: DataFrame, classes: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """doc_id, train, n_tokens, n_known, logs, classes of every text: the class of each token, a byte,
+    and the sum of log10(count + ``ADDED``).  ``counts`` are those of the first numbers."""
+    shared, first = chunks.sparkSession.sparkContext.broadcast((classes.astype(np.int64), counts.astype(np.int64))), len(counts)
+
+    def fill(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = [pa.table({n: pa.array([], t) for n, t in kinds.items()})]
+        for chunk in left.to_pylist():
+            numbers, endings, lengths = chunk_numbers(chunk)
+            of, n = shared.value[0][endings], np.zeros(len(endings), np.int64)  # an unknown word's
+            slots = right.column("slot").to_numpy()
+            of[slots], n[slots] = right.column("class").to_numpy(), right.column("n").to_numpy()
+            rare = numbers >= first
+            own, times = np.empty(len(numbers), np.uint8), np.empty(len(numbers), np.int64)
+            own[rare], times[rare] = of[numbers[rare] - first], n[numbers[rare] - first]
+            own[~rare], times[~rare] = shared.value[0][numbers[~rare]], shared.value[1][numbers[~rare]]
+            cuts = np.concatenate(([0], np.cumsum(lengths)))
+            parts.append(pa.table([
+                pa.array(chunk["doc_ids"], pa.int64()), pa.array(chunk["train"], pa.bool_()), pa.array(lengths),
+                pa.array(np.add.reduceat((times > 0).astype(np.int64), cuts[:-1])),
+                pa.array(np.add.reduceat(np.log10(times + ADDED), cuts[:-1])), _slices(own, cuts),
+            ], names=list(kinds)))
+        return pa.concat_tables(parts)
+
+    kinds = {"doc_id": pa.int64(), "train": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "logs": pa.float64(), "classes": pa.binary()}
+    slots = chunks.select("chunk", F.posexplode("words").alias("slot", "word"))
+    known = slots.join(table, "word").select(F.col("chunk").alias("of"), "slot", "n", "class")
+    texts = chunks.select("chunk", "doc_ids", *TRAINING)
+    filled = texts.groupBy("chunk").cogroup(known.groupBy("of")).applyInArrow(
+        fill, "doc_id long, train boolean, n_tokens long, n_known long, logs double, classes binary"
+    )
+    return kept(filled, "class-arrays")
+
+
+def class_pairs_of(arrow, end: int):
+    """Arrays of the classes of whole texts and of the classes before them, and where texts start."""
+    for batch in arrow:
+        column = batch.column("classes")
+        lengths = pc.binary_length(column).to_numpy(zero_copy_only=False)
+        here = np.frombuffer(b"".join(column.to_pylist()), np.uint8).astype(np.int64)
+        if len(here):
+            yield batch, here, np.concatenate(([end], here[:-1])), np.cumsum(lengths) - lengths
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
 
@@ -270,28 +481,28 @@ class Model:
     """Bounded parts of the model: units, classes, transitions and the frequent words' counts."""
 
     def __init__(self, units: Units, classes: np.ndarray, follow: np.ndarray, tokens: int, words: int,
-                 class_words: np.ndarray, frequent: dict[bytes, int]):
-        self.units, self.classes, self.tokens, self.words = units, classes, tokens, words
+                 class_words: np.ndarray, counts: np.ndarray):
+        self.units, self.classes, self.tokens, self.words, self.counts = units, classes, tokens, words, counts
         class_tokens = follow.sum(axis=0)
         self.room = class_tokens + ADDED * (class_words + 1)
         share = self.room / self.room.sum()
         smooth = (follow + TRUST_CLASSES * share) / (follow.sum(axis=1, keepdims=True) + TRUST_CLASSES)
         self.transition = np.log10(smooth)
         self.base_room = tokens + ADDED * (words + 1)
-        self.counts = np.array(list(frequent.values()), np.float64)
+        self.read: tuple[DataFrame, DataFrame] | None = None  # the texts it learnt from, and their class arrays
 
 
 def train_model(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the table of all word counts."""
+    """The model, and the table of the rarer words' counts and classes."""
     spark = docs.sparkSession
-    train = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = word_counts(train)
+    counts = word_counts(docs.where(training(F.col("doc_id"))))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("words")).first()
     tokens, words = total["tokens"], total["words"]
     short = counts.where(F.length("word") <= LONGEST)
     frequent = short.where(F.col("n") * BROADCAST_SHARE >= tokens).orderBy(F.desc("n"), "word").collect()
     frequent = {bytes(r["word"]): r["n"] for r in frequent}
     frequent.setdefault(END, 0)
+    discard(counts)
     common = len(frequent)
     units = Units((w, i) for i, w in enumerate(frequent))
     # numbers of the words that clustering moves one by one, then of the endings
@@ -302,99 +513,61 @@ def train_model(docs: DataFrame) -> tuple[Model, DataFrame]:
     coarse[:common][~alone] = [coarse[units.__missing__(w)] for w, a in zip(frequent, alone) if not a]
     size, end = int(alone.sum()) + ENDINGS, units[END]
     moving = np.arange(size) % CLASSES  # units by falling frequency, dealt round
-    arrays = unit_arrays(train, spark.sparkContext.broadcast(units))
-    pairs = unit_pairs(arrays, coarse, end)
+    chunks = text_chunks(docs, spark.sparkContext.broadcast(units))
+    pairs = unit_pairs(chunks, coarse, common, end)
     for _ in range(SWEEPS):
         moving, moved = exchange(moving, pairs)
         if moved <= SETTLED * size:
             break
     classes = moving[coarse]
-    follow = class_bigrams(arrays, classes, end)
+    follow = class_bigrams(chunks, classes, common, end)
     if not alone.all():  # the rarer of the frequent words come last
         rarer = range(int(np.flatnonzero(~alone)[0]), common)
         for _ in range(REFINED):
-            chosen = own_classes(arrays, classes, follow, rarer, end)
+            chosen = own_classes(chunks, classes, follow, rarer, end)
             at = np.flatnonzero(~alone[rarer.start :])  # the end has its class already
             classes[rarer.start + at] = chosen[at]
-            follow = class_bigrams(arrays, classes, end)
-    discard(arrays)
-    shared = spark.sparkContext.broadcast((units, classes))
-
-    def class_sizes(arrow):
-        of, to = shared.value
-        sizes = np.zeros(CLASSES, np.int64)
-        for batch in arrow:
-            for w in batch.column("word").to_pylist():
-                sizes[to[of[w]]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES)), pa.array(sizes)], ["class", "words"])
-
-    found = counts.select("word").mapInArrow(class_sizes, "class long, words long").groupBy("class").agg(F.sum("words").alias("words"))
-    class_words = np.zeros(CLASSES)
-    for row in found.collect():
-        class_words[row["class"]] = row["words"]
-    return Model(units, classes, follow, tokens, words, class_words, frequent), counts
+            follow = class_bigrams(chunks, classes, common, end)
+    table = rare_words(chunks, classes, follow, common, end)
+    n = np.array(list(frequent.values()), np.int64)
+    read = class_arrays(chunks, table, classes, n)
+    discard(chunks)
+    before = int(classes[end])
+    follow = counted_pairs(
+        read.where("train").select("classes"), lambda arrow: ((here, left) for _, here, left, _ in class_pairs_of(arrow, before))
+    )
+    class_words = np.bincount(classes[:common][n > 0], minlength=CLASSES).astype(float)
+    for row in table.groupBy("class").agg(F.count(F.lit(1)).alias("words")).collect():
+        class_words[row["class"]] += row["words"]
+    every = np.concatenate((classes, np.arange(CLASSES)))
+    model = Model(Words(units, table), every, follow, tokens, words, class_words, n)
+    model.read = docs, read
+    return model, table
 
 
 def score_documents(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score (both log10) of every row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """doc_id, n_tokens, n_known, base_score, score (both log10) of every row of ``docs``;
+    ``counts`` is the table that came with the model."""
+    spark = docs.sparkSession
+    if model.read and model.read[0] is docs:
+        read = model.read[1]
+    else:
+        chunks = text_chunks(docs, spark.sparkContext.broadcast(Units(model.units)))
+        read = class_arrays(chunks, counts, model.classes, model.counts)
+        discard(chunks)
+    before, base_room = int(model.classes[model.units[END]]), math.log10(model.base_room)
+    transition, room = model.transition, np.log10(model.room)
 
     def score(arrow):
-        m = shared.value
-        class_of, common = m.classes.tolist(), len(m.units)
-        unit_of = m.units.__getitem__
-        base = np.log10((m.counts + ADDED) / m.base_room)
-        emit = np.log10((m.counts + ADDED) / m.room[m.classes[:common]])
-        known = m.counts > 0
-        for batch, texts in text_batches(arrow, 1 << 20):
-            rows, ids = batch.column("row").to_pylist(), batch.column("doc_id").to_pylist()
-            out: tuple[list, ...] = ([], [], [], [], [], [], [], [], [])
-            for row, doc_id, text in zip(rows, ids, texts):
-                tokens = tokens_of(text)
-                units = np.fromiter(map(unit_of, tokens), np.int64, len(tokens))
-                classes = m.classes[units]
-                before = np.concatenate((classes[-1:], classes[:-1]))  # the end stands before the first
-                total = float(m.transition[before, classes].sum())
-                here = units[units < common]
-                line = (row, doc_id, None, None, len(tokens), int(known[here].sum()), float(base[here].sum()),
-                        total + float(emit[here].sum()), None)
-                for column, value in zip(out, line):
-                    column.append(value)
-                rare = Counter(tokens[i] for i in np.flatnonzero(units >= common).tolist())
-                if rare:
-                    n = len(rare)
-                    out[0].extend([row] * n)
-                    out[1].extend([None] * n)
-                    out[2].extend(rare.keys())
-                    out[3].extend(rare.values())
-                    for column in out[4:8]:
-                        column.extend([None] * n)
-                    out[8].extend(class_of[unit_of(w)] for w in rare)
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32())
-            names = ["row", "doc_id", "word", "times", "n_tokens", "n_known", "base_score", "score", "class"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
-
-    scored = kept(
-        docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", raw("text").alias("text")).mapInArrow(
-            score, "row long, doc_id long, word binary, times int, n_tokens long, n_known long, "
-            "base_score double, score double, class int"
-        ),
-        "scored",
-    )
-    rare = scored.where(F.col("word").isNotNull()).select("row", "word", "times", "class")
-    count = F.coalesce("n", F.lit(0)) + ADDED
-    room = F.element_at(F.array(*[F.lit(float(r)) for r in model.room]), F.col("class") + 1)
-    joined = rare.join(counts, "word", "left").select(
-        "row", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"),
-        F.when(F.col("n") > 0, F.col("times")).otherwise(0).cast("long").alias("n_known"),
-        (F.col("times") * F.log10(count / F.lit(float(model.base_room)))).alias("base_score"),
-        (F.col("times") * F.log10(count / room)).alias("score"),
-    )
-    whole = scored.where(F.col("word").isNull()).select(*joined.columns)
-    return whole.unionByName(joined).groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
-        F.sum("base_score").alias("base_score"), F.sum("score").alias("score"),
-    ).drop("row")
+        for batch, here, left, starts in class_pairs_of(arrow, before):
+            logs, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("logs", "n_tokens"))
+            steps = np.add.reduceat(transition[left, here] - room[here], starts)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("n_tokens"), batch.column("n_known"), pa.array(logs - n * base_room), pa.array(logs + steps)],
+                ["doc_id", "n_tokens", "n_known", "base_score", "score"],
+            )
+
+    return read.drop("train").mapInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def perplexity(score: Column, tokens: Column) -> Column:
