@@ -30,7 +30,6 @@ is that of an empty model.
 
 import math
 import zlib
-from collections import Counter
 from itertools import repeat
 
 import numpy as np
@@ -58,7 +57,7 @@ END = b""  # no word is empty
 FLUSH = 400_000  # distinct words a task counts before it passes them on
 CHUNK = 64  # units whose followers one task adds up
 GROUP = 4096  # words that one task gives their classes
-CHUNK_BYTES = 1 << 21  # of text; a longer text is a chunk
+CHUNK_BYTES = 1 << 23  # of text; a longer text is a chunk
 # chunks are long rows: row groups of few of them
 CHUNK_FILES = {"parquet.block.size": 1 << 24, "parquet.block.size.row.check.min": 4}
 TRAINING = ("train", "lengths", "numbers", "endings")  # what training reads of a chunk
@@ -78,31 +77,73 @@ def tokens_of(text: bytes) -> list[bytes]:
     return [*words_of(text.lower()), END]
 
 
+class Slots(dict):
+    """Numbers for words in the order they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = len(self)
+        return found
+
+
+def _row(schema: pa.Schema, *values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, schema.types)], schema=schema)
+
+
+TEXTS = [("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())),
+         ("lengths", pa.list_(pa.int32())), ("numbers", pa.binary()), ("words", pa.list_(pa.binary()))]
+TEXTS_SQL = "chunk long, doc_ids array<long>, train array<boolean>, lengths array<int>, numbers binary, words array<binary>"
+
+
+def text_chunks(docs: DataFrame) -> DataFrame:
+    """The texts, a chunk of them a row: numbers stand for the chunk's ``words``, which occur ``counts``
+    times in its training texts."""
+    schema = pa.schema([*TEXTS, ("counts", pa.binary())])
+
+    def number(arrow):
+        part = TaskContext.get().partitionId()
+        for i, (batch, texts) in enumerate(text_batches(arrow, CHUNK_BYTES)):
+            numbers, slots = [], Slots()
+            for text in texts:
+                tokens = tokens_of(text)
+                numbers.append(np.fromiter(map(slots.__getitem__, tokens), np.int32, len(tokens)))
+            lengths = np.array(list(map(len, numbers)), np.int32)
+            train, flat = batch.column("train").to_numpy(zero_copy_only=False), np.concatenate(numbers)
+            counts = np.bincount(flat[np.repeat(train, lengths)], minlength=len(slots))
+            yield _row(schema, part << 32 | i, batch.column("doc_id").to_pylist(), train, lengths, flat.tobytes(), list(slots), counts.tobytes())
+
+    texts = docs.select("doc_id", training(F.col("doc_id")).alias("train"), raw("text").alias("text"))
+    return texts.mapInArrow(number, f"{TEXTS_SQL}, counts binary")
+
+
 def _count_words(arrow):
-    counts: Counter = Counter()
+    total: dict[bytes, int] = {}
 
     def passed_on():
         yield pa.RecordBatch.from_arrays(
-            [pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"]
+            [pa.array(total.keys(), pa.binary()), pa.array(total.values(), pa.int64())], ["word", "n"]
         )
-        counts.clear()
+        total.clear()
 
-    for _, texts in text_batches(arrow):
-        for text in texts:
-            counts.update(tokens_of(text))
-            if len(counts) > FLUSH:
+    for batch in arrow:
+        for words, counts in zip(batch.column("words"), batch.column("counts")):
+            counts = np.frombuffer(counts.as_py(), np.int64)
+            at = np.flatnonzero(counts)
+            for word, n in zip(words.values.take(pa.array(at)).to_pylist(), counts[at].tolist()):
+                total[word] = total.get(word, 0) + n
+            if len(total) > FLUSH:
                 yield from passed_on()
     yield from passed_on()
 
 
-def word_counts(train: DataFrame) -> DataFrame:
-    partial = train.select(raw("text").alias("text")).mapInArrow(_count_words, "word binary, n long")
+def word_counts(texts: DataFrame) -> DataFrame:
+    partial = texts.select("words", "counts").mapInArrow(_count_words, "word binary, n long")
     return kept(partial.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
 
 
 def ending(word: bytes) -> int:
-    last = word[-12:].decode("utf-8", "ignore")[-3:]  # three characters are 12 bytes at most
-    return zlib.crc32(last.encode()) & (ENDINGS - 1)
+    last = word[-12:]  # three characters are 12 bytes at most
+    last = last[-3:] if last.isascii() else last.decode("utf-8", "ignore")[-3:].encode()
+    return zlib.crc32(last) & (ENDINGS - 1)
 
 
 class Units(dict):
@@ -129,50 +170,35 @@ class Words(Units):
         return self.seen[word]
 
 
-class Slots(dict):
-    """Numbers for words in the order they come."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = found = len(self)
-        return found
-
-
-def text_chunks(docs: DataFrame, units) -> DataFrame:
-    """The texts as arrays of numbers, written once; a row holds a chunk of texts.
+def numbered(texts: DataFrame, units) -> DataFrame:
+    """Chunks in the numbers of ``units``, written once.
 
-    Numbers from ``len(units)`` on stand for the chunk's own ``words``, the rare ones; ``endings``
+    Numbers from ``len(units)`` on stand for the chunk's own ``words``, now the rare ones; ``endings``
     has the unit of each.
     """
+    schema = pa.schema([*TEXTS, ("endings", pa.binary())])
 
     def number(arrow):
-        of, part = units.value, TaskContext.get().partitionId()
-        first = len(of)
-        for i, (batch, texts) in enumerate(text_batches(arrow, CHUNK_BYTES)):
-            tokens, lengths, slots = [], [], Slots()
-            for text in texts:
-                found = tokens_of(text)
-                tokens += found
-                lengths.append(len(found))
-            numbers = np.fromiter(map(of.get, tokens, repeat(-1)), np.int32, len(tokens))
-            rare = np.flatnonzero(numbers < 0)
-            numbers[rare] = np.fromiter((slots[tokens[at]] + first for at in rare.tolist()), np.int32, len(rare))
-            row = (
-                part << 32 | i, batch.column("doc_id").to_pylist(), batch.column("train").to_pylist(), lengths,
-                numbers.tobytes(), list(slots), np.fromiter(map(of.__missing__, slots), np.int32, len(slots)).tobytes(),
-            )
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.binary()), pa.binary())
-            names = ["chunk", "doc_ids", "train", "lengths", "numbers", "words", "endings"]
-            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, kinds)], names)
+        of = units.value
+        for batch in arrow:
+            for i in range(batch.num_rows):
+                column = batch.column("words")[i].values
+                words = column.to_pylist()
+                found = np.fromiter(map(of.get, words, repeat(-1)), np.int32, len(words))
+                rare = np.flatnonzero(found < 0)
+                found[rare] = len(of) + np.arange(len(rare))
+                endings = np.fromiter((of.__missing__(words[at]) for at in rare.tolist()), np.int32, len(rare))
+                numbers = found[np.frombuffer(batch.column("numbers")[i].as_py(), np.int32)]
+                chunk, ids, train, lengths = (batch.column(c)[i].as_py() for c in ("chunk", "doc_ids", "train", "lengths"))
+                yield _row(schema, chunk, ids, train, lengths, numbers.tobytes(), column.take(pa.array(rare)), endings.tobytes())
 
-    texts = docs.select("doc_id", training(F.col("doc_id")).alias("train"), raw("text").alias("text"))
-    schema = "chunk long, doc_ids array<long>, train array<boolean>, lengths array<int>, numbers binary, words array<binary>, endings binary"
-    return kept(texts.mapInArrow(number, schema), "text-chunks", **CHUNK_FILES)
+    return kept(texts.drop("counts").mapInArrow(number, f"{TEXTS_SQL}, endings binary"), "numbered", **CHUNK_FILES)
 
 
-def chunk_numbers(chunk: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def chunk_numbers(batch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Numbers of a chunk's tokens, the units of its own words, and the lengths of its texts."""
-    return (np.frombuffer(chunk["numbers"], np.int32), np.frombuffer(chunk["endings"], np.int32),
-            np.array(chunk["lengths"], np.int64))
+    numbers, endings = (np.frombuffer(batch.column(c)[i].as_py(), np.int32) for c in ("numbers", "endings"))
+    return numbers, endings, np.array(batch.column("lengths")[i].as_py(), np.int64)
 
 
 def units_of(numbers: np.ndarray, endings: np.ndarray, first: int) -> np.ndarray:
@@ -182,16 +208,17 @@ def units_of(numbers: np.ndarray, endings: np.ndarray, first: int) -> np.ndarray
 
 
 def training_numbers(arrow):
-    """Chunk by chunk the rows, the numbers of the training tokens and the units of the rare words."""
+    """Chunk by chunk its batch and place, the numbers of the training tokens and the units of the rare words."""
     for batch in arrow:
-        for chunk in batch.to_pylist():
-            numbers, endings, lengths = chunk_numbers(chunk)
-            yield chunk, numbers[np.repeat(np.array(chunk["train"], bool), lengths)], endings
+        for i in range(batch.num_rows):
+            numbers, endings, lengths = chunk_numbers(batch, i)
+            train = np.array(batch.column("train")[i].as_py(), bool)
+            yield batch, i, numbers[np.repeat(train, lengths)], endings
 
 
 def neighbours(arrow, first: int, end: int):
     """Arrays of units and of the units right before them."""
-    for _, numbers, endings in training_numbers(arrow):
+    for _, _, numbers, endings in training_numbers(arrow):
         if len(numbers):
             # every text ends with the end unit, so the unit before a text's first is the end
             flat = units_of(numbers, endings, first)
@@ -326,11 +353,12 @@ def _slices(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
 
 
 def rare_contexts(chunks: DataFrame, classes: np.ndarray, first: int, end: int) -> DataFrame:
-    """word, codes, counts: how often a rare word of a chunk stands, in training texts, between which classes."""
+    """word, codes: between which classes a rare word of a chunk stands in training texts, and how often;
+    a code is the times, the class before and the class after as one number."""
     shared, k = chunks.sparkSession.sparkContext.broadcast(classes.astype(np.int64)), CLASSES
 
     def count(arrow):
-        for chunk, numbers, endings in training_numbers(arrow):
+        for batch, i, numbers, endings in training_numbers(arrow):
             at = np.flatnonzero(numbers >= first)
             if not len(at):
                 continue
@@ -341,12 +369,10 @@ def rare_contexts(chunks: DataFrame, classes: np.ndarray, first: int, end: int)
             slots = keys // (k * k)
             starts = np.concatenate(([0], np.flatnonzero(np.diff(slots)) + 1))
             cuts = np.concatenate((starts, [len(keys)]))
-            words = pa.array(chunk["words"], pa.binary()).take(pa.array(slots[starts]))
-            yield pa.RecordBatch.from_arrays(
-                [words, _slices((keys % (k * k)).astype(np.int32), cuts), _slices(n.astype(np.int32), cuts)], ["word", "codes", "counts"]
-            )
+            words = batch.column("words")[i].values.take(pa.array(slots[starts]))
+            yield pa.RecordBatch.from_arrays([words, _slices(n * (k * k) + keys % (k * k), cuts)], ["word", "codes"])
 
-    return chunks.select(*TRAINING, "words").mapInArrow(count, "word binary, codes binary, counts binary")
+    return chunks.select(*TRAINING, "words").mapInArrow(count, "word binary, codes binary")
 
 
 def rare_words(chunks: DataFrame, classes: np.ndarray, follow: np.ndarray, first: int, end: int) -> DataFrame:
@@ -366,11 +392,11 @@ def rare_words(chunks: DataFrame, classes: np.ndarray, follow: np.ndarray, first
             if not len(column):
                 continue
             starts = np.concatenate(([True], pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)))
-            sizes = pc.binary_length(batch.column("codes")).to_numpy(zero_copy_only=False) // 4
-            codes, counts = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32) for c in ("codes", "counts"))
+            sizes = pc.binary_length(batch.column("codes")).to_numpy(zero_copy_only=False) // 8
+            codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.int64)
             words = column.filter(pa.array(starts)).to_pylist()
             own = np.repeat(np.cumsum(starts) - 1, sizes) * k
-            sums = [np.bincount(own + side, weights=counts, minlength=len(words) * k).reshape(-1, k) for side in (codes // k, codes % k)]
+            sums = [np.bincount(own + side, weights=codes // (k * k), minlength=len(words) * k).reshape(-1, k) for side in (codes // k % k, codes % k)]
             sums = np.stack(sums, axis=1)
             if last == words[:1]:
                 sums[0] += total[0]
@@ -393,8 +419,8 @@ def class_arrays(chunks: DataFrame, table: DataFrame, classes: np.ndarray, count
 
     def fill(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = [pa.table({n: pa.array([], t) for n, t in kinds.items()})]
-        for chunk in left.to_pylist():
-            numbers, endings, lengths = chunk_numbers(chunk)
+        for i in range(left.num_rows):  # one
+            numbers, endings, lengths = chunk_numbers(left, i)
             of, n = shared.value[0][endings], np.zeros(len(endings), np.int64)  # an unknown word's
             slots = right.column("slot").to_numpy()
             of[slots], n[slots] = right.column("class").to_numpy(), right.column("n").to_numpy()
@@ -404,7 +430,7 @@ def class_arrays(chunks: DataFrame, table: DataFrame, classes: np.ndarray, count
             own[~rare], times[~rare] = shared.value[0][numbers[~rare]], shared.value[1][numbers[~rare]]
             cuts = np.concatenate(([0], np.cumsum(lengths)))
             parts.append(pa.table([
-                pa.array(chunk["doc_ids"], pa.int64()), pa.array(chunk["train"], pa.bool_()), pa.array(lengths),
+                pa.array(left.column("doc_ids")[i].as_py(), pa.int64()), pa.array(left.column("train")[i].as_py(), pa.bool_()), pa.array(lengths),
                 pa.array(np.add.reduceat((times > 0).astype(np.int64), cuts[:-1])),
                 pa.array(np.add.reduceat(np.log10(times + ADDED), cuts[:-1])), _slices(own, cuts),
             ], names=list(kinds)))
@@ -495,7 +521,8 @@ class Model:
 def train_model(docs: DataFrame) -> tuple[Model, DataFrame]:
     """The model, and the table of the rarer words' counts and classes."""
     spark = docs.sparkSession
-    counts = word_counts(docs.where(training(F.col("doc_id"))))
+    texts = kept(text_chunks(docs), "texts", **CHUNK_FILES)
+    counts = word_counts(texts)
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("words")).first()
     tokens, words = total["tokens"], total["words"]
     short = counts.where(F.length("word") <= LONGEST)
@@ -513,7 +540,8 @@ def train_model(docs: DataFrame) -> tuple[Model, DataFrame]:
     coarse[:common][~alone] = [coarse[units.__missing__(w)] for w, a in zip(frequent, alone) if not a]
     size, end = int(alone.sum()) + ENDINGS, units[END]
     moving = np.arange(size) % CLASSES  # units by falling frequency, dealt round
-    chunks = text_chunks(docs, spark.sparkContext.broadcast(units))
+    chunks = numbered(texts, spark.sparkContext.broadcast(units))
+    discard(texts)
     pairs = unit_pairs(chunks, coarse, common, end)
     for _ in range(SWEEPS):
         moving, moved = exchange(moving, pairs)
@@ -552,7 +580,7 @@ def score_documents(docs: DataFrame, model: Model, counts: DataFrame) -> DataFra
     if model.read and model.read[0] is docs:
         read = model.read[1]
     else:
-        chunks = text_chunks(docs, spark.sparkContext.broadcast(Units(model.units)))
+        chunks = numbered(text_chunks(docs), spark.sparkContext.broadcast(Units(model.units)))
         read = class_arrays(chunks, counts, model.classes, model.counts)
         discard(chunks)
     before, base_room = int(model.classes[model.units[END]]), math.log10(model.base_room)
