@@ -68,3 +68,11 @@ def test_number_dense_text_gives_all_when_asked():
     found = list(pii.examples(text, None, None))
     assert sum(k == "ip" and y for _, y, k, _ in found) == 30 * 3 and all(w == 1 for *_, w in found)
     assert sum(k == "card" for _, _, k, _ in found) == sum(c[2] == "card" for c in pii.candidates(text))
+
+
+def test_documents_without_digit_or_base_span_give_examples(spark):
+    """Addresses that only letters make up, and what merely looks like one, are candidates too."""
+    texts = ["carol [at] example.com wrote", "we met at home. Later on", "no candidate", None, "of carol {AT} mail(dot)example [dot] com",
+             "carol at mail dot example dot com wrote", "look at example.com soon"]
+    found = pii.example_table(docs(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).collect()
+    assert sorted((r["kind"], r["label"], r["weight"]) for r in found) == [("email", 0.0, 1.0)] * 2 + [("email", 1.0, 1.0)] * 3
