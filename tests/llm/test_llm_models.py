@@ -111,6 +111,29 @@ def test_rarest_words_take_the_class_of_their_contexts(spark, monkeypatch):
     assert (last["n_tokens"], last["n_known"]) == (4, 2) and math.isfinite(last["score"])
 
 
+def test_unit_pairs_pass_on_bounded_counts(spark, monkeypatch):
+    """Neither a task that counts nor one that adds up holds more than a fixed number of codes at once."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200)) for _ in range(60)]
+    data = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    monkeypatch.setattr(brown_lm, "FLUSH", 40)
+    monkeypatch.setattr(brown_lm, "CHUNK_BYTES", 1000)
+    units = brown_lm.Units((w, i) for i, w in enumerate([b"", *(bytes([c]) for c in b"abcdefghijklmnopqrstuvwxyz")]))
+    chunks = brown_lm.numbered(brown_lm.text_chunks(docs(spark, data, 1)), spark.sparkContext.broadcast(units))
+    assert chunks.count() > 10
+    n = len(units)
+    parts = brown_lm.summed_codes(chunks, lambda here, left: [left * n + here], n, n, 0).collect()
+    assert max(len(r["codes"]) // 8 for r in parts) <= n and len(parts) > 2 * n  # codes are passed on more than twice
+    want = np.zeros((n, n))
+    for i, t in enumerate(texts):
+        if fold(i, 5) != 1:
+            own = [units[w] for w in [b"", *t.encode().split(), b""]]
+            for u, v in zip(own, own[1:]):
+                want[u, v] += 1
+    got = brown_lm.unit_pairs(chunks, np.arange(n + brown_lm.ENDINGS), n, 0)
+    assert (got[:n, :n] == want).all() and got.sum() == want.sum()
+
+
 def test_endings_are_characters():
     units = brown_lm.Units({b"a": 0})
     for one, other in (("зимний", "летний"), ("你好世界", "他好世界"), ("abc", "xabc"), ("é", "é")):

@@ -33,13 +33,13 @@ import zlib
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voxloom.llm.common import discard, kept, raw, text_batches, words_of
+from voxloom.scratch import spread
 
 FOLDS, HELD_OUT = 5, 1
 CLASSES = 32
@@ -100,16 +100,26 @@ def text_chunks(docs: DataFrame) -> DataFrame:
     schema = pa.schema([*TEXTS, ("counts", pa.binary())])
 
     def number(arrow):
-        part = TaskContext.get().partitionId()
-        for i, (batch, texts) in enumerate(text_batches(arrow, CHUNK_BYTES)):
-            numbers, slots = [], Slots()
+        part, i, size, ids, trains, numbers, slots = TaskContext.get().partitionId() << 32, 0, 0, [], [], [], Slots()
+
+        def chunk():
+            lengths = np.array(list(map(len, numbers)), np.int32)
+            train, flat = np.concatenate(trains), np.concatenate(numbers)
+            counts = np.bincount(flat[np.repeat(train, lengths)], minlength=len(slots))
+            return _row(schema, part | i, ids, train, lengths, flat.tobytes(), list(slots), counts.tobytes())
+
+        for batch, texts in text_batches(arrow, CHUNK_BYTES):
             for text in texts:
                 tokens = tokens_of(text)
                 numbers.append(np.fromiter(map(slots.__getitem__, tokens), np.int32, len(tokens)))
-            lengths = np.array(list(map(len, numbers)), np.int32)
-            train, flat = batch.column("train").to_numpy(zero_copy_only=False), np.concatenate(numbers)
-            counts = np.bincount(flat[np.repeat(train, lengths)], minlength=len(slots))
-            yield _row(schema, part << 32 | i, batch.column("doc_id").to_pylist(), train, lengths, flat.tobytes(), list(slots), counts.tobytes())
+            ids += batch.column("doc_id").to_pylist()
+            trains.append(batch.column("train").to_numpy(zero_copy_only=False))
+            size += sum(map(len, texts))
+            if size >= CHUNK_BYTES:
+                yield chunk()
+                i, size, ids, trains, numbers, slots = i + 1, 0, [], [], [], Slots()
+        if numbers:
+            yield chunk()
 
     texts = docs.select("doc_id", training(F.col("doc_id")).alias("train"), raw("text").alias("text"))
     return texts.mapInArrow(number, f"{TEXTS_SQL}, counts binary")
@@ -233,6 +243,16 @@ def summed_codes(chunks: DataFrame, codes_of, width: int, first: int, end: int)
         keys, at = np.unique(np.concatenate(codes), return_inverse=True)
         return keys, np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
 
+    def rows(keys: np.ndarray, n: np.ndarray):
+        chunks = keys // width
+        cuts = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunks[a]], pa.int64()), pa.array([keys[a:b].tobytes()], pa.binary()), pa.array([n[a:b].tobytes()], pa.binary())],
+                    ["chunk", "codes", "counts"],
+                )
+
     def count(arrow):
         codes, counts, pending = [], [], 0
         for here, left in neighbours(arrow, first, end):
@@ -243,28 +263,36 @@ def summed_codes(chunks: DataFrame, codes_of, width: int, first: int, end: int)
                 pending += len(keys)
             if pending > FLUSH * 5:
                 keys, n = summed(codes, counts)
-                codes, counts, pending = [keys], [n], 0
-        if not codes:
-            return
-        keys, n = summed(codes, counts)
-        chunks = keys // width
-        cuts = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), len(keys)]
-        for a, b in zip(cuts, cuts[1:]):
-            if b > a:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunks[a]], pa.int64()), pa.array([keys[a:b].tobytes()], pa.binary()), pa.array([n[a:b].tobytes()], pa.binary())],
-                    ["chunk", "codes", "counts"],
-                )
+                codes, counts, pending = [keys], [n], len(keys)
+                if pending > FLUSH * 2:
+                    yield from rows(keys, n)
+                    codes, counts, pending = [], [], 0
+        if codes:
+            yield from rows(*summed(codes, counts))
 
     return chunks.select(*TRAINING).mapInArrow(count, "chunk long, codes binary, counts binary")
 
 
-def added_up(frame: pd.DataFrame, width: int) -> tuple[int, np.ndarray]:
-    """A chunk's number and its counts, code by code."""
-    chunk, total = int(frame["chunk"].iloc[0]), np.zeros(width, np.int64)
-    for codes, counts in zip(frame["codes"], frame["counts"]):
-        total[np.frombuffer(codes, np.int64) - chunk * width] += np.frombuffer(counts, np.int64)
-    return chunk, total
+def added_up(parts: DataFrame, width: int, found_of) -> DataFrame:
+    """chunk, found: what ``found_of`` makes of a chunk's counts, code by code.
+
+    A task adds up its chunks row by row, so that what it holds does not grow with the tasks that counted.
+    """
+
+    def add(arrow):
+        totals: dict[int, np.ndarray] = {}
+        for batch in arrow:
+            for i, chunk in enumerate(batch.column("chunk").to_pylist()):
+                codes, counts = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int64) for c in ("codes", "counts"))
+                if chunk not in totals:
+                    totals[chunk] = np.zeros(width, np.int64)
+                totals[chunk][codes - chunk * width] += counts
+        for chunk, total in totals.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([chunk], pa.int64()), pa.array([found_of(total).tobytes()], pa.binary())], ["chunk", "found"]
+            )
+
+    return spread(parts, "chunk").mapInArrow(add, "chunk long, found binary")
 
 
 def unit_pairs(chunks: DataFrame, coarse: np.ndarray, first: int, end: int) -> np.ndarray:
@@ -273,14 +301,10 @@ def unit_pairs(chunks: DataFrame, coarse: np.ndarray, first: int, end: int) -> n
     shared, n = chunks.sparkSession.sparkContext.broadcast(coarse.astype(np.int64)), int(coarse.max()) + 1
     rows, width = CHUNK, CHUNK * n
 
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        chunk, total = added_up(frame, width)
-        return pd.DataFrame({"chunk": [chunk], "counts": [total.tobytes()]})
-
     found = summed_codes(chunks, lambda here, left: [shared.value[left] * n + shared.value[here]], width, first, end)
     pairs = np.zeros((-(-n // rows) * rows, n))
-    for row in found.groupBy("chunk").applyInPandas(add, "chunk long, counts binary").collect():  # units x units
-        pairs[row["chunk"] * rows : (row["chunk"] + 1) * rows] = np.frombuffer(row["counts"], np.int64).reshape(rows, n)
+    for row in added_up(found, width, lambda total: total).collect():  # units x units
+        pairs[row["chunk"] * rows : (row["chunk"] + 1) * rows] = np.frombuffer(row["found"], np.int64).reshape(rows, n)
     return pairs[:n]
 
 
@@ -309,17 +333,14 @@ def own_classes(chunks: DataFrame, classes: np.ndarray, follow: np.ndarray, word
             mine = (own >= first) & (own < last)
             yield ((own[mine] - first) * 2 + way) * k + shared.value[0][beside[mine]]
 
-    def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        chunk, total = added_up(frame, width)
+    def choose(total: np.ndarray) -> np.ndarray:
         both = total.reshape(group, 2, k).astype(float)
-        best = likeliest(both[:, 0], both[:, 1], shared.value[1]).astype(np.int64)
-        return pd.DataFrame({"chunk": [chunk], "classes": [best.tobytes()]})
+        return likeliest(both[:, 0], both[:, 1], shared.value[1]).astype(np.int64)
 
     found = classes[first:last].copy()
-    parts = summed_codes(chunks, codes_of, width, last, end)
-    for row in parts.groupBy("chunk").applyInPandas(choose, "chunk long, classes binary").collect():  # a number a word
+    for row in added_up(summed_codes(chunks, codes_of, width, last, end), width, choose).collect():  # a number a word
         at = row["chunk"] * group
-        found[at : at + group] = np.frombuffer(row["classes"], np.int64)[: len(found) - at]
+        found[at : at + group] = np.frombuffer(row["found"], np.int64)[: len(found) - at]
     return found
 
 
