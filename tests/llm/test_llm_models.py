@@ -371,6 +371,23 @@ def test_neighbours(spark, monkeypatch):
     assert hnsw.nearest(df.limit(0)).count() == 0
 
 
+def test_shards_stay_few(monkeypatch):
+    """Every query searches every shard, so shards grow before they multiply."""
+    assert [hnsw.shard_count(n) for n in (0, 1, 4096, 4097, 51_282)] == [1, 1, 1, 2, 13]
+    assert hnsw.shard_count(615_384) == hnsw.shard_count(2_000_000) == 32
+    assert hnsw.shard_count(4_194_304) == 64 and hnsw.shard_count(1000, 100) == 10
+
+
+def test_width_follows_the_size(monkeypatch):
+    monkeypatch.setattr(hnsw, "EXHAUSTIVE", 0)
+    monkeypatch.setattr(hnsw, "SHARD_SIZE", 100)
+    graph, widths = hnsw.build_graph(np.random.default_rng(0).normal(size=(400, 8))), []
+    search = graph.search_layer
+    monkeypatch.setattr(graph, "search_layer", lambda q, entry, width, layer: widths.append(width) or search(q, entry, width, layer))
+    graph.search(graph.vectors[0], 5)
+    assert widths[-1] == 2 * hnsw.WIDTH_SEARCH
+
+
 def test_graph_recall():
     rng = np.random.default_rng(0)
     v = rng.normal(size=(1500, 24))

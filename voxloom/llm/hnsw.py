@@ -1,10 +1,14 @@
 """Approximate nearest neighbours: one navigable small-world graph per shard.
 
-Vectors are dealt to shards of about ``SHARD_SIZE`` by hash, each shard builds a
+Vectors are dealt to shards by hash, each shard builds a
 hierarchical graph whose links are flat integer arrays, and the index is a table with one
 row per shard and kind of array.  A search sends blocks of query vectors to every shard and
 merges the shards' answers by exact distance in double precision.
 
+A shard has about ``SHARD_SIZE`` vectors while there are at most ``MOST_SHARDS`` shards, and
+up to ``LARGEST_SHARD`` after that, so that few rows and many send a query to about as many shards.
+A search keeps more nodes in a larger graph, by the root of its size, for the same recall.
+
 Rows with equal vectors share one graph node, which keeps the ``k + 1`` smallest ids: no
 further copy can be among the ``k`` nearest of any query.  Vectors that are null, empty,
 zero or hold null or non-finite values take no part.  Vectors of different lengths are
@@ -20,8 +24,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from voxloom.llm.common import kept
+from voxloom.scratch import spread
 
 SHARD_SIZE = 4096
+MOST_SHARDS, LARGEST_SHARD = 32, 65536
 QUERY_BLOCK = 1024
 EXHAUSTIVE = 256
 LINKS = 16  # per node and upper layer; twice as many on the ground layer
@@ -78,7 +84,8 @@ class Graph:
             entry = self.search_layer(q, entry, 1, upper)
         return entry
 
-    def search(self, q: np.ndarray, k: int, width: int = WIDTH_SEARCH) -> list[tuple[float, int]]:
+    def search(self, q: np.ndarray, k: int, width: int | None = None) -> list[tuple[float, int]]:
+        width = width or int(WIDTH_SEARCH * max(1.0, math.sqrt(len(self.vectors) / SHARD_SIZE)))
         if len(self.vectors) <= EXHAUSTIVE:
             d = self.distances(q, np.arange(len(self.vectors)))
             order = np.argsort(d, kind="stable")[:k]
@@ -159,10 +166,14 @@ def distinct_vectors(rows: DataFrame, id_col: str, vector: str, k: int) -> DataF
     )
 
 
+def shard_count(count: int, shard_size: int = SHARD_SIZE) -> int:
+    size = max(shard_size, min(-(-count // MOST_SHARDS), LARGEST_SHARD))
+    return max(1, -(-count // size))
+
+
 def build_index(distinct: DataFrame, shard_size: int = SHARD_SIZE) -> tuple[DataFrame, int]:
     """Rows (dim, shard, nodes, ids, vectors, links): the arrays as bytes; and the shard count."""
-    count = distinct.count()
-    shards = max(1, -(-count // shard_size))
+    shards = shard_count(distinct.count(), shard_size)
 
     def build(key, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("node")
@@ -180,7 +191,7 @@ def build_index(distinct: DataFrame, shard_size: int = SHARD_SIZE) -> tuple[Data
     dealt = distinct.select(
         F.size("v").alias("dim"), F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"), "node", "v", "ids"
     )
-    built = dealt.groupBy("dim", "shard").applyInPandas(
+    built = spread(dealt, "dim", "shard").groupBy("dim", "shard").applyInPandas(  # a shard is long work on few bytes
         build, "dim int, shard int, size int, ids array<array<long>>, vectors binary, links array<binary>"
     )
     return kept(built, "hnsw-index"), shards
@@ -213,7 +224,8 @@ def search_index(index: DataFrame, shards: int, queries: DataFrame, k: int) -> D
                         out += [(node, i, d) for i in row.ids[at]]
                 yield pd.DataFrame(out, columns=["node", "id", "score"])
 
-    return index.join(sent, ["dim", "shard"]).mapInPandas(search, "node long, id long, score double")
+    met = spread(index, "dim", "shard").join(spread(sent, "dim", "shard"), ["dim", "shard"])
+    return met.mapInPandas(search, "node long, id long, score double")
 
 
 def nearest(rows: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
